@@ -101,7 +101,7 @@ class Trees:
                     own = np.where(c > 0, -np.log2(c / (n + d)), -np.log2(d / (n + d)) + lower)
                 self.cost[here] = np.where(n > 0, own, lower)
             at += len(known)
-        self.cost = self.cost.reshape(-1, n_langs)
+        self.cost = self.cost.reshape(total * a, n_langs)
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text under each language."""
