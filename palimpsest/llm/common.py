@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 #: The words of a text are the runs of code points outside this set; bytes.split() splits UTF-8 at the same six.
-WORD_BREAK = r"[\x20\x09-\x0D]+"
+WORD_BREAK, SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
