@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # What MySQL's format letters are in Spark's patterns.
 DATE_LETTERS = {
     "a": "EEE", "b": "MMM", "c": "M", "d": "dd", "e": "d", "f": "SSSSSS", "H": "HH", "h": "hh", "I": "hh", "i": "mm", "j": "DDD", "k": "H", "l": "h",
-    "M": "MMMM", "m": "MM", "p": "a", "r": "hh:mm:ss a", "S": "ss", "s": "ss", "T": "HH:mm:ss", "W": "EEEE", "Y": "yyyy", "y": "yy", "%": "'%'",
+    "M": "MMMM", "m": "MM", "p": "a", "r": "hh:mm:ss a", "S": "ss", "s": "ss", "T": "HH:mm:ss", "W": "EEEE", "Y": "yyyy", "y": "yy",
 }
 #: Microseconds of the units that have a fixed length.
 UNITS = {"MICROSECOND": 1, "SECOND": 10**6, "MINUTE": 60 * 10**6, "HOUR": 3600 * 10**6, "DAY": 86400 * 10**6, "WEEK": 7 * 86400 * 10**6}
@@ -19,10 +19,13 @@ def date_pattern(mysql: str) -> str:
     out, i, text = "", 0, ""
 
     def flush() -> str:
-        return "'" + text.replace("'", "''") + "'" if any(c.isalpha() for c in text) else text
+        return "'" + text.replace("'", "''") + "'" if any(c.isalpha() or c == "'" for c in text) else text
 
     while i < len(mysql):
-        if mysql[i] == "%" and i + 1 < len(mysql):
+        if mysql[i : i + 2] == "%%":
+            text += "%"
+            i += 2
+        elif mysql[i] == "%" and i + 1 < len(mysql):
             out, text = out + flush() + DATE_LETTERS.get(mysql[i + 1], mysql[i + 1]), ""
             i += 2
         else:

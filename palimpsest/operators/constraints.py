@@ -40,20 +40,24 @@ def violations(tables: dict[str, DataFrame], rules: Sequence[dict]) -> DataFrame
     """
     out = None
     for r in rules:
-        df = tables[r["table"]]
-        if r["kind"] == "foreign key":
-            bad, info = foreign_key(df, r["columns"], tables[r["parent"]], r["parent_columns"]), f"{','.join(r['columns'])} -> {r['parent']}({','.join(r['parent_columns'])})"
-        elif r["kind"] == "unique index":
-            bad, info = unique(df, r["columns"]), ",".join(r["columns"])
-        elif r["kind"] == "check constraint":
-            bad, info = check(df, r["condition"]), r["condition"]
-        else:
-            bad, info = not_null(df, r["columns"]), ",".join(r["columns"])
+        bad, info = breaking(tables, r)
         one = bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(r["table"]).alias("table"), F.lit(r["kind"]).alias("violation_type"), "n", F.lit(info).alias("violation_info"))
         out = one if out is None else out.union(one)
     return out.filter("n > 0")
 
 
+def breaking(tables: dict[str, DataFrame], rule: dict) -> tuple[DataFrame, str]:
+    """Rows that break a rule, and the rule in words."""
+    df = tables[rule["table"]]
+    if rule["kind"] == "foreign key":
+        return foreign_key(df, rule["columns"], tables[rule["parent"]], rule["parent_columns"]), f"{','.join(rule['columns'])} -> {rule['parent']}({','.join(rule['parent_columns'])})"
+    if rule["kind"] == "unique index":
+        return unique(df, rule["columns"]), ",".join(rule["columns"])
+    if rule["kind"] == "check constraint":
+        return check(df, rule["condition"]), rule["condition"]
+    return not_null(df, rule["columns"]), ",".join(rule["columns"])
+
+
 def auto_increment(df: DataFrame, column: str, start: int, order: Sequence[str]) -> DataFrame:
     """df with nulls of the column numbered from `start` on, by `order` among them: ranks of a hash range, then offsets.
 

@@ -93,7 +93,8 @@ def diff_stat(before: DataFrame, after: DataFrame, keys: Sequence[str], table: s
     """One row: rows unmodified, added, deleted and modified, and the same of cells, with both versions' sizes.
 
     Cells of rows added and deleted are counted by the new version's width; a column that only one version has adds its
-    cells to the added or the deleted ones. Where both versions have as many cells, the larger of the two counts is both.
+    cells to the added or the deleted ones, and one cell to each modified row. Where both versions have as many cells, the
+    larger of the two counts is both.
     """
     joined, old, new = sides(before, after, keys)
     shared = [c for c in new if c in old and c not in keys]
@@ -109,7 +110,7 @@ def diff_stat(before: DataFrame, after: DataFrame, keys: Sequence[str], table: s
 
     sums = joined.agg(
         count(F.col("in_from")).alias("old_row_count"), count(F.col("in_to")).alias("new_row_count"), count(F.col("in_from").isNull()).alias("rows_added"),
-        count(F.col("in_to").isNull()).alias("rows_deleted"), count(modified).alias("rows_modified"), F.coalesce(F.sum(F.when(both, changed)), F.lit(0)).cast("long").alias("cells_modified"),
+        count(F.col("in_to").isNull()).alias("rows_deleted"), count(modified).alias("rows_modified"), F.coalesce(F.sum(F.when(modified, changed + len({*old} ^ {*new}))), F.lit(0)).cast("long").alias("cells_modified"),
     )
     cells = sums.withColumn("old_cell_count", F.col("old_row_count") * len(old)).withColumn("new_cell_count", F.col("new_row_count") * len(new))
     grown = F.col("new_cell_count") - F.col("old_cell_count")

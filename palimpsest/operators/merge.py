@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import jsonx
 from palimpsest.operators.diff import any_of, differs
 
 #: What became of a key, seen from both sides.
@@ -52,19 +53,31 @@ def classify(joined: DataFrame, columns: Sequence[str]) -> Column:
     )
 
 
-def classified(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def classified(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str], documents: Sequence[str] = ()) -> DataFrame:
+    """three_sides with op. Columns of JSON in `documents` merge by key: where that succeeds, both sides hold the result."""
     joined = three_sides(base, ours, theirs, keys)
-    return joined.withColumn("op", classify(joined, [c for c in base.columns if c not in keys]))
+    columns = [c for c in base.columns if c not in keys]
+    if not documents:
+        return joined.withColumn("op", classify(joined, columns))
+    resolved = F.lit(False)
+    for c in documents:
+        b, o, t = (F.col(f"{s}_{c}") for s in ("base", "our", "their"))
+        both = F.col("in_ours") & F.col("in_theirs") & differs(o, t) & differs(o, b) & differs(t, b)
+        joined = joined.withColumn("_m", jsonx.json_merge(b, F.when(both, o), F.when(both, t))).withColumn("_ok", both & ~F.col("_m.conflict"))
+        joined = joined.withColumns({f"our_{c}": F.when(F.col("_ok"), F.col("_m.merged")).otherwise(o), f"their_{c}": F.when(F.col("_ok"), F.col("_m.merged")).otherwise(t), f"_ok_{c}": F.col("_ok")}).drop("_m", "_ok")
+        resolved = resolved | F.col(f"_ok_{c}")
+    op = classify(joined, columns)
+    return joined.withColumn("op", F.when(resolved & (op == "convergentModify"), "divergentModifyResolved").otherwise(op)).drop(*[f"_ok_{c}" for c in documents])
 
 
 def merge_counts(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return classified(base, ours, theirs, keys).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merged_rows(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str], on_conflict: str = "ours") -> DataFrame:
+def merged_rows(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str], on_conflict: str = "ours", documents: Sequence[str] = ()) -> DataFrame:
     """The merged table: cell by cell the side that changed; conflicting rows as `on_conflict` says (ours or theirs)."""
     columns = [c for c in base.columns if c not in keys]
-    rows = classified(base, ours, theirs, keys)
+    rows = classified(base, ours, theirs, keys, documents)
     conflict = F.col("op").isin(*CONFLICTS)
     side = "our" if on_conflict == "ours" else "their"
     alive = F.when(conflict, F.col(f"in_{on_conflict}")).otherwise(~F.col("op").isin("convergentDelete", "leftDelete", "rightDelete"))
@@ -83,10 +96,10 @@ def side_type(side: str, columns: Sequence[str]) -> Column:
     return F.when(~F.col("in_base"), "added").when(~there, "removed").when(_same(side, "base", columns), "unmodified").otherwise("modified")
 
 
-def conflicts(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def conflicts(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str], documents: Sequence[str] = ()) -> DataFrame:
     """Conflicting rows as base_<c>, our_<c>, our_diff_type, their_<c>, their_diff_type; a side without the row is null."""
     columns = [c for c in base.columns if c not in keys]
-    rows = classified(base, ours, theirs, keys).filter(F.col("op").isin(*CONFLICTS))
+    rows = classified(base, ours, theirs, keys, documents).filter(F.col("op").isin(*CONFLICTS))
 
     def of(side: str, there: str) -> list[Column]:
         return [*[F.when(F.col(there), F.col(k)).alias(f"{side}_{k}") for k in keys], *[F.col(f"{side}_{c}") for c in columns]]

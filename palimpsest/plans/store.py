@@ -67,6 +67,7 @@ class Repo:
             self.sets: dict[str, dict] = {}
             self.reflog: list[list[str]] = []
             self.config: dict[str, dict] = {"remotes": {}, "backups": {}}
+            self.rules: list[dict] = []
             self.version = 0
             first = self._commit_of({}, (), "Initialize data repository", self.author, self.now())
             self._move("branch", branch, first.hash)
@@ -93,7 +94,7 @@ class Repo:
         self.graph = Graph()
         for c in state["commits"]:
             self.graph.add(Commit(c["hash"], tuple(c["parents"]), when(c["date"]), c["author"], c["email"], c["message"], tables=c["tables"]))
-        self.refs, self.sets, self.reflog, self.meta, self.config, self.version = (state[k] for k in ("refs", "sets", "reflog", "meta", "config", "version"))
+        self.refs, self.sets, self.reflog, self.meta, self.config, self.rules, self.version = (state[k] for k in ("refs", "sets", "reflog", "meta", "config", "rules", "version"))
 
     def _save(self) -> None:
         """Replace the state by an atomic rename, unless someone else did since it was read."""
@@ -102,7 +103,7 @@ class Repo:
             raise Conflict("the database has changed; open it again")
         self.version += 1
         commits = [{"hash": c.hash, "parents": list(c.parents), "date": c.date.isoformat(), "author": c.author, "email": c.email, "message": c.message, "tables": c.tables} for c in self.graph.commits.values()]
-        state = {"commits": commits, "refs": self.refs, "sets": self.sets, "reflog": self.reflog, "meta": self.meta, "config": self.config, "version": self.version}
+        state = {"commits": commits, "refs": self.refs, "sets": self.sets, "reflog": self.reflog, "meta": self.meta, "config": self.config, "rules": self.rules, "version": self.version}
         fs, target = self._fs(path)
         _, fresh = self._fs(f"{path}.{uuid.uuid4().hex}")
         out = fs.create(fresh)
@@ -128,25 +129,28 @@ class Repo:
 
     # --- snapshots
 
-    def write_table(self, name: str, df: DataFrame, keys: Sequence[str] = (), checks: Sequence[dict] = ()) -> str:
+    def write_table(self, name: str, df: DataFrame, keys: Sequence[str] = (), documents: Sequence[str] | None = None) -> str:
         """Store df as the table's working version; returns its content hash. A snapshot of the same content is kept once.
 
         Rows are bucketed by a hash of their key (of all columns without keys) and sorted by it within, so that point and range
-        filters skip row groups and unchanged buckets need not be read by a diff.
+        filters skip row groups and unchanged buckets need not be read by a diff. `documents` are text columns of JSON, whose
+        objects a merge joins by key.
         """
-        keys = list(keys) or list(self.meta.get(self.sets[self.branch]["working"].get(name, ""), {}).get("keys", []))
+        before = self.meta.get(self.sets[self.branch]["working"].get(name, ""), {})
+        keys = list(keys) or [k for k in before.get("keys", []) if k in df.columns]
+        documents = list(before.get("json", []) if documents is None else documents)
         place = keys or df.columns
         fresh = f"{self.root}/tables/{name}/{uuid.uuid4().hex}"
         bucketed = df.withColumn("bucket", F.pmod(F.xxhash64(*place), F.lit(BUCKETS)).cast("int"))
         bucketed.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", *place).write.partitionBy("bucket").parquet(fresh)
         hashes = {str(r["bucket"]): [r["n"], r["digest"]] for r in history.bucket_hashes(self._read(fresh, df.schema), place, BUCKETS).collect()}
-        content = json.dumps([df.schema.json(), keys, sorted(hashes.items())])
+        content = json.dumps([df.schema.json(), keys, documents, sorted(hashes.items())])
         table_hash = hashlib.sha1(content.encode()).hexdigest()[:32]
         if table_hash in self.meta:
             fs, p = self._fs(fresh)
             fs.delete(p, True)
         else:
-            self.meta[table_hash] = {"path": fresh, "schema": df.schema.json(), "keys": keys, "buckets": hashes, "checks": list(checks)}
+            self.meta[table_hash] = {"path": fresh, "schema": df.schema.json(), "keys": keys, "buckets": hashes, "json": documents}
         self.sets[self.branch]["working"][name] = table_hash
         self._save()
         return table_hash
@@ -198,8 +202,11 @@ class Repo:
             return self.sets[self.branch][spec.lower()]
         return self.graph[self.resolve(spec)].tables
 
-    def table(self, name: str, as_of: str | datetime = WORKING) -> DataFrame:
+    def table(self, name: str, as_of: str | datetime = WORKING, schema_as: str | datetime | None = None) -> DataFrame:
+        """A table of a version; `schema_as` reads it through the schema that another version has."""
         tables = self.manifest(as_of)
+        if name in tables and schema_as is not None:
+            return schema.conform(self.snapshot(tables[name]), self.table(name, schema_as).schema)
         if name not in tables:
             for pattern, ref, target in self._nonlocal():
                 if matches(pattern, name):
@@ -360,8 +367,10 @@ class Repo:
                 self._set()["working"][t] = self.manifest(name)[t]
             self._save()
             return
-        if new:
+        if new:  # uncommitted changes come along
             self.create_branch(name)
+            self.sets[name], self.sets[self.branch] = self.sets[self.branch], self.sets[name]
+            self._save()
         if name not in self.refs["branch"]:
             raise ValueError(f"no branch {name}")
         self.branch = name
@@ -421,7 +430,8 @@ class Repo:
                 raise Conflict(f"{name} has different keys")
             frames = self._common(b, o, t)
             if keys:
-                rows, bad = merge.merged_rows(*frames, keys, on_conflict), merge.conflicts(*frames, keys)
+                documents = [c for c in self.meta[o].get("json", []) if c in frames[0].columns]
+                rows, bad = merge.merged_rows(*frames, keys, on_conflict, documents), merge.conflicts(*frames, keys, documents)
             else:
                 bag = merge.bag_merge(*frames)
                 rows = bag.filter("merged_n > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), "merged_n")).alias("_"), *frames[0].columns).drop("_")
@@ -741,8 +751,45 @@ class Repo:
     def hash_of_db(self, as_of: str = WORKING) -> str:
         return hashlib.sha1(json.dumps(sorted(self.manifest(as_of).items())).encode()).hexdigest()[:32]
 
-    def verify_constraints(self, rules: Sequence[dict], as_of: str = WORKING) -> DataFrame:
-        return constraints.violations({n: self.snapshot(h) for n, h in self.manifest(as_of).items()}, rules)
+    def add_rule(self, rule: dict) -> None:
+        """A constraint of a table, as operators.constraints.violations reads it; checked when asked for."""
+        self.rules.append(rule)
+        self._save()
+
+    def drop_rule(self, name: str) -> None:
+        self.rules = [r for r in self.rules if r.get("name") != name]
+        self._save()
+
+    def verify_constraints(self, rules: Sequence[dict] | None = None, as_of: str = WORKING) -> DataFrame:
+        """(table, violation_type, n, violation_info) of the rules given, or of all the database has."""
+        tables = {n: self.snapshot(h) for n, h in self.manifest(as_of).items()}
+        known = [r for r in (self.rules if rules is None else rules) if r["table"] in tables and r.get("parent", r["table"]) in tables]
+        if not known:
+            return self.spark.createDataFrame([], "table string, violation_type string, n long, violation_info string")
+        return constraints.violations(tables, known)
+
+    def violating_rows(self, table: str) -> DataFrame:
+        """Rows of a table that break one of its rules, with violation_type and violation_info."""
+        out, tables = None, {n: self.snapshot(h) for n, h in self.manifest(WORKING).items()}
+        for r in self.rules:
+            if r["table"] == table:
+                bad, info = constraints.breaking(tables, r)
+                one = bad.withColumns({"violation_type": F.lit(r["kind"]), "violation_info": F.lit(info)})
+                out = one if out is None else out.union(one)
+        return out if out is not None else self.table(table).limit(0).withColumns({"violation_type": F.lit(""), "violation_info": F.lit("")})
+
+    def schema_conflicts(self) -> DataFrame:
+        """(table_name, base_schema, our_schema, their_schema, description) of tables whose schemas a merge can't join."""
+        m, rows = self._set()["merge"], []
+        for name in self.graph[m["ours"]].tables if m else ():
+            hashes = [self.graph[m[k]].tables.get(name) if m[k] else None for k in ("base", "ours", "theirs")]
+            kinds = [T.StructType.fromJson(json.loads(self.meta[h]["schema"])) if h else None for h in hashes]
+            if all(kinds[1:]):
+                try:
+                    schema.merge_schemas(*[k for k in kinds if k is not None])
+                except schema.SchemaConflict as e:
+                    rows.append((name, *[schema.create_statement(name, k) if k is not None else None for k in kinds], str(e)))
+        return self.spark.createDataFrame(rows, "table_name string, base_schema string, our_schema string, their_schema string, description string")
 
     def clone(self, root: str) -> Repo:
         """A copy of the database's folder under another root; also what a backup is."""

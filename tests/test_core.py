@@ -264,6 +264,25 @@ def test_sql_session(spark, repo):
     assert list(statements("a; 'b;c' ; -- x;\n d")) == ["a", "'b;c'", "d"]
 
 
+def test_sql_constraints_and_documents(spark, repo):
+    s = Session(repo)
+    s.run_script("""
+        CREATE TABLE p (id INT PRIMARY KEY);
+        CREATE TABLE t (pk INT, r INT NOT NULL, d JSON, PRIMARY KEY (pk), CONSTRAINT fk FOREIGN KEY (r) REFERENCES p (id), UNIQUE KEY u (r), CHECK (pk < 10));
+        INSERT INTO p VALUES (1); INSERT INTO t VALUES (1, 1, '{"a":1,"b":1}'), (11, 2, NULL);
+        CALL vc_commit('-A', '-m', 'one'); CALL vc_branch('other');
+        UPDATE t SET d = '{"a":2,"b":1}' WHERE pk = 1; CALL vc_commit('-am', 'ours'); CALL vc_checkout('other');
+        UPDATE t SET d = '{"a":1,"b":3}' WHERE pk = 1; CALL vc_commit('-am', 'theirs'); CALL vc_checkout('main')
+    """)
+    assert rows(s.sql("SELECT violation_type, n FROM vc_constraint_violations")) == [("check constraint", 1), ("foreign key", 1)]
+    assert rows(s.sql("SELECT pk, violation_type FROM vc_constraint_violations_t")) == [(11, "check constraint"), (11, "foreign key")]
+    assert s.sql("CALL vc_verify_constraints()").first()[0] == 1
+    assert s.sql("CALL vc_merge('other')").first().conflicts == 0
+    assert rows(s.sql("SELECT d FROM t WHERE pk = 1")) == [('{"a":2,"b":3}',)]
+    assert s.sql("SELECT vc_hashof('HEAD') AS h, active_branch() AS b, has_ancestor('HEAD', 'other') AS a").first() == (repo.head(), "main", True)
+    assert repo.table("t", "HEAD", schema_as="HEAD~1").columns == ["pk", "r", "d"] and s.sql("SELECT * FROM vc_schema_conflicts").count() == 0
+
+
 def test_spellings(spark):
     assert mysql_to_spark("date_add(d, INTERVAL 3 DAY)") == "(d + INTERVAL 3 DAY)" and mysql_to_spark("CAST(x AS SIGNED)") == "CAST(x AS BIGINT)"
     assert spark_type("int unsigned") == "bigint" and spark_type("decimal(65,30)") == "string" and spark_type("TINYINT(1)") == "boolean" and spark_type("varchar(20)") == "string"
@@ -343,7 +362,7 @@ def test_change_feed_stream(spark, repo, tmp_path):
 
 
 def test_windows_of_events(spark, tmp_path):
-    df = spark.createDataFrame([(datetime(2024, 1, 1, 0, m), "a" if m % 2 else "b") for m in range(0, 120, 10)], "ts timestamp, kind string")
+    df = spark.createDataFrame([(datetime(2024, 1, 1, m // 60, m % 60), "a" if m % 20 else "b") for m in range(0, 120, 10)], "ts timestamp, kind string")
     df.coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = changes.windowed_counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "e")), "ts", "kind")
     q = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
