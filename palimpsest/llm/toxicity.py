@@ -23,10 +23,13 @@ LEET = {
 SUBSTITUTED, DROPPED, REPEATED = -1.0, -4.0, -0.7
 #: Labelled rows that the models are learned from, as expected by a hash of their text: the fit's bound.
 FIT_ROWS = 12_000
-#: Words of the language model, and of the lexicon: at most so many, by count and by evidence.
+#: Words of the language model, and entries of the lexicon: at most so many, by count and by evidence.
 MODEL_WORDS, LEXICON = 30_000, 4_000
-#: A word of the lexicon is in so many labelled documents at least, and tells the classes apart by this likelihood ratio (G2).
-LEAST_DOCS, LEAST_EVIDENCE = 3, 11.0
+#: An entry of the lexicon is in so many labelled documents at least. It tells the classes apart by a likelihood ratio (G2) of
+#: twice the logarithm of the number of candidates, which chance alone reaches once or so, and this much more.
+LEAST_DOCS, SURPLUS = 3, 2.0
+#: Lengths of the word beginnings that may be entries as well, so that rare words of one stem count together.
+STEMS = (4, 5)
 #: Letters of context of the language model; code points of the longest token that the channel decodes (runs shortened).
 CONTEXT, LONGEST = 3, 32
 #: Distinct tokens that a Python worker remembers the restored words of.
@@ -35,7 +38,6 @@ REMEMBERED = 1 << 19
 _EDGE = "".join(sorted(set(".,;:?!\"'()[]{}<>|*#%&$+=~^`_-/\\…“”„«»–—¿¡")))
 _RUN = re.compile(r"(.)\1\1+")
 _MARKS = re.compile(r"([^\w\s])\1{2,}$")
-_INSIDE = re.compile(r"[^\W\d_][\W_]+[^\W\d_]")
 
 
 class Letters:
@@ -116,22 +118,24 @@ class Channel:
         return found
 
     def _restore(self, token: str) -> str:
-        bare = _MARKS.sub("", token).strip(_EDGE)
+        body = _MARKS.sub("", token)
+        bare = body.strip(_EDGE)
         if not any(map(str.isalpha, bare)):
             return ""
-        lead = token[len(token) - len(token.lstrip(_EDGE)) :]
-        front = token[: len(token) - len(lead)][-1:]
-        written = (front if front in LEET and front else "") + bare
-        last = _MARKS.sub("", token)[len(_MARKS.sub("", token).rstrip(_EDGE)) :][:1]
+        at = body.index(bare)
+        front, last = body[:at][-1:], body[at + len(bare) :][:1]
         plain = bare.isalpha() and not _RUN.search(bare)
-        if plain and (not front or front not in "@$!|+(<€£¡¢*#"):
+        if plain and front not in LEET:
             return bare
-        short = _RUN.sub(r"\1\1\1", written)
-        if len(short) > LONGEST:
+        written = _RUN.sub(r"\1\1\1", front + bare if front in LEET else bare)
+        if len(written) > LONGEST:
             return bare
+        readings = [self.decode(written)]
         if plain:
-            return max((bare, self.decode(short)), key=self.score)
-        return max((self.decode(short), *([self.decode(short + last)] if last and last in LEET else [])), key=self.score)
+            readings.append(bare)
+        elif last in LEET:
+            readings.append(self.decode(written + last))
+        return max(readings, key=self.score)
 
     def score(self, word: str) -> float:
         total, at = 0.0, "\x02" * CONTEXT
@@ -153,9 +157,17 @@ class Channel:
         found.discard("")
         return found
 
+    def entries(self, text: str) -> set[str]:
+        """The different restored words of a text and their stems, which end in a star."""
+        words = self.words(text)
+        return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in STEMS))
+
 
 class Model:
-    """Channel, lexicon (word to weight) and the two numbers that make a probability of the sum of weights."""
+    """Channel, lexicon (word or stem to weight) and the two numbers that make a probability of the largest weight met.
+
+    The largest, not the sum: a long text meets more words by chance, but not heavier ones.
+    """
 
     def __init__(self, words: list[tuple[str, int]], lexicon: dict[str, float], slope: float = 1.0, offset: float = 0.0):
         self.model_words, self.lexicon, self.slope, self.offset = words, lexicon, slope, offset
@@ -163,9 +175,9 @@ class Model:
     def channel(self) -> Channel:
         return Channel(Letters(self.model_words))
 
-    def evidence(self, words: set[str]) -> float:
+    def evidence(self, channel: Channel, text: str) -> float:
         known = self.lexicon
-        return sum(known[w] for w in words if w in known)
+        return max((known[e] for e in channel.entries(text) if e in known), default=0.0)
 
     def score(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * evidence + self.offset))))
@@ -177,21 +189,29 @@ def _map_texts(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def _platt(points: list[tuple[float, int]]) -> tuple[float, float]:
-    """Slope and offset of a logistic regression on one number, by Newton's steps with a small penalty."""
-    slope, offset = 1.0, -2.0
-    for _ in range(50):
-        g0 = g1 = h00 = h01 = h11 = 0.0
-        for x, y in points:
-            p = 1 / (1 + math.exp(-max(-40.0, min(40.0, slope * x + offset))))
-            w = max(p * (1 - p), 1e-9)
-            g0, g1 = g0 + p - y, g1 + (p - y) * x
+    """Slope and offset of a logistic regression on one number, with a small penalty, by Newton's steps that never climb."""
+    counted = Counter(points)
+
+    def parts(slope: float, offset: float) -> tuple[float, ...]:
+        loss, g0, g1, h00, h01, h11 = 0.5 * (0.01 * offset * offset + (slope - 1) ** 2), 0.01 * offset, slope - 1, 0.01, 0.0, 1.0
+        for (x, y), n in counted.items():
+            z = slope * x + offset
+            p = 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+            loss += n * (math.log1p(math.exp(-abs(z))) + max(z, 0.0) - y * z)
+            g0, g1 = g0 + n * (p - y), g1 + n * (p - y) * x
+            w = n * p * (1 - p)
             h00, h01, h11 = h00 + w, h01 + w * x, h11 + w * x * x
-        g0, g1, h00, h11 = g0 + 1e-3 * offset, g1 + 1e-2 * (slope - 1), h00 + 1e-3, h11 + 1e-2
+        return loss, g0, g1, h00, h01, h11
+
+    slope, offset = 1.0, -2.0
+    for _ in range(100):
+        loss, g0, g1, h00, h01, h11 = parts(slope, offset)
         det = h00 * h11 - h01 * h01
-        d0, d1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-        step = min(1.0, 2.0 / max(abs(d0), abs(d1), 1e-12))
-        offset, slope = offset - step * d0, slope - step * d1
-        if abs(d0) + abs(d1) < 1e-9:
+        d0, d1, step = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det, 1.0
+        while step > 1e-6 and parts(slope - step * d1, offset - step * d0)[0] > loss:
+            step /= 2
+        slope, offset = slope - step * d1, offset - step * d0
+        if step <= 1e-6 or abs(d0) + abs(d1) < 1e-7:
             break
     return slope, offset
 
@@ -200,7 +220,7 @@ def fit(labelled: DataFrame) -> Model:
     """A model from the rows of (text, toxic 0 or 1); null texts and labels teach nothing.
 
     About FIT_ROWS of them, taken by a hash of the text, are read whole. What comes to the driver are MODEL_WORDS words at
-    most, LEXICON words at most, and how often each sum of weights occurs in the sample.
+    most, LEXICON entries at most, and the largest weight that each text of the sample meets.
     """
     known = labelled.filter(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select(F.col("text").cast("binary").alias("t"), F.col("toxic").cast("int").alias("y"))
     n = known.count()
@@ -227,7 +247,7 @@ def fit(labelled: DataFrame) -> Model:
             docs: Counter = Counter()
             toxic: Counter = Counter()
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = [*channel.words(t.decode("utf-8", "replace")), ""]
+                found = [*channel.entries(t.decode("utf-8", "replace")), ""]
                 docs.update(found)
                 if y:
                     toxic.update(found)
@@ -245,7 +265,8 @@ def fit(labelled: DataFrame) -> Model:
 
     k, kt = F.col("n"), F.col("n_toxic")
     cells = [(kt, k * toxic / n), (k - kt, k * (n - toxic) / n), (toxic - kt, (n - k) * toxic / n), (n - toxic - k + kt, (n - k) * (n - toxic) / n)]
-    scored = met.filter("word <> ''").withColumn("g2", 2 * sum(term(*c) for c in cells)).filter(F.col("g2") >= LEAST_EVIDENCE).filter(kt / k > toxic / n)
+    least = 2 * math.log(max(2, met.count())) + SURPLUS
+    scored = met.filter("word <> ''").withColumn("g2", 2 * sum(term(*c) for c in cells)).filter(F.col("g2") >= least).filter(kt / k > toxic / n)
     best = scored.orderBy(F.desc("g2"), "word").limit(LEXICON).collect()
     model = Model(words, {r["word"]: math.log((r["n_toxic"] + 0.5) / (toxic + 1)) - math.log((r["n"] - r["n_toxic"] + 0.5) / (n - toxic + 1)) for r in best})
     points = [(r["x"], r["y"]) for r in _scored(sample.withColumn("d", F.lit(0).cast("long")), model, "t", "d", ["y"]).select(F.round("x", 3).alias("x"), "y").collect()]
@@ -263,7 +284,7 @@ def _scored(df: DataFrame, model: Model, text: str, key: str, more: list[str] =
         m = shared.value
         channel = m.channel()
         for b in batches:
-            x = [m.evidence(channel.words((t or b"").decode("utf-8", "replace"))) for t in b.column(0).to_pylist()]
+            x = [m.evidence(channel, (t or b"").decode("utf-8", "replace")) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(x, pa.float64()), pa.array([m.score(e) for e in x], pa.float64())], [*rest, "x", "score"])
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in rest)
@@ -288,7 +309,7 @@ def clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float
         m = shared.value
         channel = m.channel()
         for b in batches:
-            low = [m.score(m.evidence(channel.words((t or b"").decode("utf-8", "replace")))) < threshold for t in b.column(at).to_pylist()]
+            low = [m.score(m.evidence(channel, (t or b"").decode("utf-8", "replace"))) < threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(low, pa.bool_()))
 
     named = df.select(*[(F.col(c).cast("binary") if c == text_col else F.col(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
