@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import bounded_batches, read, stored
@@ -80,20 +80,32 @@ def ball_links(fps: DataFrame) -> DataFrame:
     return hubs.filter("fp > hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def _meets_here(v: Column, x: Column, y: Column) -> Column:
+    """Whether v is the one variant on which a pair x < y counts, of those that both emit: in the upper half if that is near
+    enough, and there x itself or, of two differing bits, x with the lower one changed."""
+    low = (1 << 32) - 1
+    upper, apart = F.shiftrightunsigned(v, 32) == 1, x.bitwiseXOR(y)
+    differing = F.when(upper, F.shiftrightunsigned(apart, 32)).otherwise(apart.bitwiseAND(low))
+    own = F.when(upper, F.shiftrightunsigned(x, 32)).otherwise(x.bitwiseAND(low))
+    step = F.when(F.bit_count(differing) == 2, differing.bitwiseAND(-differing)).otherwise(F.lit(0).cast("long"))
+    return (upper | (F.bit_count(F.shiftrightunsigned(apart, 32)) > 2)) & (v.bitwiseAND(low) == own.bitwiseXOR(step))
+
+
 def links(fps: DataFrame, verify_up_to: int = VERIFY_UP_TO) -> DataFrame:
     """Links (a, b) that connect all different fingerprints within RADIUS and no others.
 
     Meet in the middle by halves: of two fingerprints within four bits, one half is within two, so every fingerprint emits
     the variants of each half within half of that (2 * 33 rows, where whole balls take 2,081), and those that share a
-    variant are verified. Members of a bucket with more than `verify_up_to` meet by whole balls (ball_links).
+    variant are verified, each pair on one of the variants that both emit. Members of a bucket with more than `verify_up_to` meet by whole balls (ball_links).
     """
+    partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     half = F.transform(F.array(*[F.lit(m) for m in _masks(32, 1)]), lambda m: F.shiftrightunsigned("fp", 32).bitwiseXOR(m).bitwiseOR(1 << 32))
     other = F.transform(F.array(*[F.lit(m) for m in _masks(32, 1)]), lambda m: F.col("fp").bitwiseAND((1 << 32) - 1).bitwiseXOR(m))
-    met = fps.select(F.explode(F.concat(half, other)).alias("v"), "fp")
+    met = fps.repartition(partitions, "fp").select(F.explode(F.concat(half, other)).alias("v"), "fp")
     sizes = met.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = met.join(sizes.filter(F.col("n") <= verify_up_to), "v").groupBy("v").agg(F.collect_list("fp").alias("fps"))
-    close = F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS)), lambda y: F.struct(y.alias("a"), x.alias("b")))))
-    verified = buckets.select(F.explode(close).alias("e")).select("e.a", "e.b").distinct()
+    close = F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS) & _meets_here(F.col("v"), x, y)), lambda y: F.struct(y.alias("a"), x.alias("b")))))
+    verified = buckets.select(F.explode(close).alias("e")).select("e.a", "e.b")
     dense = met.join(sizes.filter(F.col("n") > verify_up_to), "v", "left_semi").select("fp").distinct()
     return verified.union(ball_links(dense)).distinct()
 
