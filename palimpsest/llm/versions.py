@@ -31,14 +31,19 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit("check")).bitwiseAND(0xFFFFFFFF)
 
 
-def _element(key: Column, third: Column) -> Column:
-    """A key with its check and its cell in each third of the table."""
+def _element(key: Column, third: Column, times: Column | None = None) -> Column:
+    """A key with its check and its cell in each third of the table, and how often a cell has it."""
     cell = [(F.pmod(F.shiftright(F.xxhash64(key, F.lit("cell")), 20 * j).bitwiseAND(0xFFFFF), third) + j * third).cast("int") for j in range(3)]
-    return F.struct(key.alias("k"), _check(key).alias("c"), *[x.alias(f"i{j}") for j, x in enumerate(cell)])
+    return F.struct((F.lit(1) if times is None else times).alias("n"), key.alias("k"), _check(key).alias("c"), *[x.alias(f"i{j}") for j, x in enumerate(cell)])
 
 
-def _here(e: Column, i: Column, third: Column) -> Column:
-    return F.when(i < third, e["i0"]).when(i < 2 * third, e["i1"]).otherwise(e["i2"]) == i
+def _by_cell(elements: Column, third: Column, cell) -> Column:
+    """The table's cells in order: cell(i, its elements), an element being in one cell of each third."""
+    def part(j: int) -> Column:
+        at = F.sequence(third * j, third * (j + 1) - 1)
+        return F.transform(at, lambda i: cell(i, F.filter(elements, lambda e: e[f"i{j}"] == i)))
+
+    return F.concat(*[part(j) for j in range(3)])
 
 
 def _cell(n: Column, k: Column, c: Column) -> Column:
@@ -49,10 +54,11 @@ def sketch(keys: Column, cells: Column | int = CELLS) -> Column:
     """The table: of each cell the number of its keys, and the exclusive or of these and of their checks."""
     third = ((F.lit(cells) if isinstance(cells, int) else cells) / 3).cast("int")
     zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
-    return _let(F.transform(keys, lambda k: _element(k, third)), lambda es: F.transform(
-        F.sequence(F.lit(0), third * 3 - 1),
-        lambda i: F.aggregate(F.filter(es, lambda e: _here(e, i, third)), zero, lambda s, e: _cell(s["n"] + 1, s["k"].bitwiseXOR(e["k"]), s["c"].bitwiseXOR(e["c"]))),
-    ))
+
+    def added(_: Column, es: Column) -> Column:
+        return F.aggregate(es, zero, lambda s, e: _cell(s["n"] + 1, s["k"].bitwiseXOR(e["k"]), s["c"].bitwiseXOR(e["c"])))
+
+    return _let(F.transform(keys, lambda k: _element(k, third)), lambda es: _by_cell(es, third, added))
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -74,15 +80,14 @@ def _peeled(difference: Column, third: Column) -> Column:
     start = F.struct(difference.alias("cells"), none.alias("found"), F.lit(True).alias("more"))
 
     def take(cells: Column, alone: Column) -> Column:
-        return F.transform(cells, lambda cell, i: F.aggregate(
-            F.filter(alone, lambda a: _here(a["e"], i, third)), cell,
-            lambda s, a: _cell(s["n"] - a["n"], s["k"].bitwiseXOR(a["e"]["k"]), s["c"].bitwiseXOR(a["e"]["c"])),
+        return _by_cell(alone, third, lambda i, es: F.aggregate(
+            es, F.get(cells, i), lambda s, a: _cell(s["n"] - a["n"], s["k"].bitwiseXOR(a["k"]), s["c"].bitwiseXOR(a["c"]))
         ))
 
     def again(s: Column, _: Column) -> Column:
         pure = F.array_distinct(F.transform(F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"])), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
         stepped = _let(pure, lambda p: F.struct(
-            _let(F.transform(p, lambda x: F.struct(x["n"].alias("n"), _element(x["k"], third).alias("e"))), lambda alone: take(s["cells"], alone)).alias("cells"),
+            _let(F.transform(p, lambda x: _element(x["k"], third, x["n"])), lambda alone: take(s["cells"], alone)).alias("cells"),
             F.concat(s["found"], p).alias("found"), (F.size(p) > 0).alias("more"),
         ))
         return F.when(s["more"], stepped).otherwise(s)
