@@ -62,3 +62,15 @@ def test_near_copies_from_080_on_go(spark):
         got = sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, frame(spark, list(zip(ids, texts, strict=True))).repartition(5), "").collect())
         assert got == want
     assert corpus_pipeline.without_near_copies(spark, frame(spark, []), "").collect() == []
+
+
+def test_ids_neither_join_nor_lose_rows(spark):
+    """Null ids and ids that repeat with other texts; of near copies the first by id, null last, then by text."""
+    def text(name, edit=""):
+        return " ".join(f"{name}{i}" for i in range(100)) + edit
+
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c", " end")), (None, None), (3, text("d")), (3, text("e")), (3, text("e")), (2, text("e", " end")), (4, text("a", " end")), (7, ""), (5, text("f")), (None, text("f"))]
+    want = [(None, text("b")), (None, text("c")), (3, text("d")), (2, text("e", " end")), (4, text("a", " end")), (7, ""), (5, text("f"))]
+    for n in (1, 6):
+        got = corpus_pipeline.without_near_copies(spark, frame(spark, rows).repartition(n), "").collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
