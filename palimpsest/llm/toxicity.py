@@ -30,13 +30,13 @@ MODEL_WORDS, LEXICON = 30_000, 4_000
 LEAST_DOCS, SURPLUS = 3, 2.0
 #: Lengths of the word beginnings that may be entries as well, so that rare words of one stem count together.
 STEMS = (4, 5)
-#: Letters of context of the language model; code points of the longest token that the channel decodes (runs shortened).
-CONTEXT, LONGEST = 3, 32
+#: Letters of context of the language model.
+CONTEXT = 3
 #: Distinct tokens that a Python worker remembers the restored words of.
 REMEMBERED = 1 << 19
 
 _EDGE = "".join(sorted(set(".,;:?!\"'()[]{}<>|*#%&$+=~^`_-/\\…“”„«»–—¿¡")))
-_RUN = re.compile(r"(.)\1\1+")
+_RUN, _TWICE = re.compile(r"(.)\1\1+"), re.compile(r"(.)\1")
 _MARKS = re.compile(r"([^\w\s])\1{2,}$")
 
 
@@ -68,6 +68,14 @@ class Letters:
         return found
 
 
+def _pieces(path: tuple | None) -> list[str]:
+    out = []
+    while path:
+        path, piece = path
+        out.append(piece)
+    return out[::-1]
+
+
 class Channel:
     """Restores tokens: the likeliest word that could have been written so, by Viterbi over a lattice of characters."""
 
@@ -88,28 +96,39 @@ class Channel:
                 out.append((*kinds, *((x + x, SUBSTITUTED + REPEATED) for x, _ in kinds if n > 1), ("", DROPPED if kinds else 0.0)))
         return out
 
-    def decode(self, token: str) -> str:
-        """The best path through the token's lattice; the state is the last CONTEXT letters, so none better is left out."""
+    def decode(self, token: str, bounds: bool = False) -> str:
+        """The best path through the token's lattice; the state is the last CONTEXT letters, so none better is left out.
+
+        With bounds, a mark or space may also end a word and begin another, at the cost of a mark that stands for nothing; the
+        words are parted by a space. Paths are kept as links to what they continue, so a token's length counts once.
+        """
         log, start = self.letters.log, "\x02" * CONTEXT
-        states: dict[str, tuple[float, str]] = {start: (0.0, "")}
-        for options in self.lattice(token):
-            after: dict[str, tuple[float, str]] = {}
-            for state, (score, word) in states.items():
+        states: dict[str, tuple[float, tuple | None]] = {start: (0.0, None)}
+        for (c, _), options in zip(itertools.groupby(token), self.lattice(token), strict=True):
+            after: dict[str, tuple[float, tuple | None]] = {}
+            for state, (score, path) in states.items():
                 for piece, cost in options:
                     s, at = score + cost, state
                     for letter in piece:
                         s += log(at, letter)
                         at = at[1:] + letter
                     if at not in after or s > after[at][0]:
-                        after[at] = (s, word + piece)
+                        after[at] = (s, (path, piece) if piece else path)
+                if bounds and state != start and not c.isalnum():
+                    s = score + options[-1][1] + log(state, "\x03")
+                    if start not in after or s > after[start][0]:
+                        after[start] = (s, (path, " "))
             states = after
-        return max((s + log(at, "\x03"), word) for at, (s, word) in states.items())[1]
+        ends = [(score if bounds and at == start and path else score + log(at, "\x03"), path) for at, (score, path) in states.items()]
+        best = max(s for s, _ in ends)
+        return max("".join(_pieces(path)) for s, path in ends if s == best).strip(" ")
 
     def restore(self, token: str) -> str:
-        """The word that a token is: itself without the marks at its edges, or what the channel decodes. "" if it has no letter.
+        """The words that a token is, parted by spaces: itself without the marks at its edges, or what the channel decodes. ""
+        if it has no letter.
 
-        Only a token that mixes letters with symbols, or says a letter three times, has more than one path, and only those are
-        decoded. Numbers and marks alone are no words.
+        Every token with more than one path is decoded: one that mixes letters with symbols, or says a letter twice. Numbers
+        and marks alone are no words.
         """
         if (found := self.known.get(token)) is None:
             if len(self.known) >= REMEMBERED:
@@ -124,36 +143,37 @@ class Channel:
             return ""
         at = body.index(bare)
         front, last = body[:at][-1:], body[at + len(bare) :][:1]
-        plain = bare.isalpha() and not _RUN.search(bare)
-        if plain and front not in LEET:
+        alpha = bare.isalpha()
+        plain = alpha and not _RUN.search(bare)
+        if alpha and front not in LEET and not _TWICE.search(bare):
             return bare
         written = _RUN.sub(r"\1\1\1", front + bare if front in LEET else bare)
-        if len(written) > LONGEST:
-            return bare
-        readings = [self.decode(written)]
-        if plain:
+        readings = [self.decode(written, True)]
+        if plain and front in LEET:
             readings.append(bare)
-        elif last in LEET:
-            readings.append(self.decode(written + last))
+        elif not alpha and last in LEET:
+            readings.append(self.decode(written + last, True))
         return max(readings, key=self.score)
 
-    def score(self, word: str) -> float:
-        total, at = 0.0, "\x02" * CONTEXT
-        for letter in word + "\x03":
-            total += self.letters.log(at, letter)
-            at = at[1:] + letter
-        return total / (len(word) + 1)
+    def score(self, words: str) -> float:
+        """Log-probability of words parted by spaces, for each letter and end of a word."""
+        total = 0.0
+        for word in words.split(" "):
+            at = "\x02" * CONTEXT
+            for letter in word + "\x03":
+                total += self.letters.log(at, letter)
+                at = at[1:] + letter
+        return total / (len(words) + 1)
 
     def words(self, text: str) -> set[str]:
-        """The different restored words of a text. Single characters in a row are one spaced-out word, besides."""
+        """The different restored words of a text. Single characters in a row are spaced-out words, besides."""
         tokens = text.lower().split()
-        found = set(map(self.restore, set(tokens)))
+        found = {word for token in set(tokens) for word in self.restore(token).split(" ")}
         singles = [i for i, t in enumerate(tokens) if len(t) == 1]
         for _, group in itertools.groupby(enumerate(singles), lambda x: x[1] - x[0]):
             run = [tokens[i] for _, i in group]
             if len(run) > 2 and any(map(str.isalpha, run)):
-                for at in range(0, len(run), LONGEST):
-                    found.add(self.restore("".join(run[at : at + LONGEST])))
+                found.update(self.restore(" ".join(run)).split(" "))
         found.discard("")
         return found
 
