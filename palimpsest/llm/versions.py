@@ -11,8 +11,8 @@ from palimpsest.llm.quality import _let
 #: Cells of a stored fingerprint; a multiple of 3. A retry has GROWTH times as many as the try before, up to LARGEST;
 #: two texts that still differ by more than that recovers exchange their digests whole, as if each had a cell of its own.
 CELLS, GROWTH, LARGEST = 24, 4, 1536
-#: A line longer than so many code points is cut at its sentences' ends into paragraphs.
-LONG_LINE = 1000
+#: A line longer than so many code points is cut at its sentences' ends into paragraphs: every line.
+LONG_LINE = 0
 #: Rounds of peeling; each takes out all elements that are alone in a cell.
 ROUNDS = 20
 #: Documents of a block, in which each finds its successor; blocks at most.
@@ -20,9 +20,8 @@ BLOCK, MAX_BLOCKS = 1024, 1 << 14
 
 
 def digests(text: Column) -> Column:
-    """The different paragraphs' 64-bit digests. A paragraph is a line with a word, or a sentence of a long line."""
-    lines = F.split(text, "\n")
-    cut = F.flatten(F.transform(lines, lambda x: F.when(F.char_length(x) > LONG_LINE, F.split(x, r"(?<=[.!?])\s+")).otherwise(F.array(x))))
+    """The different paragraphs' 64-bit digests. A paragraph is a sentence, or what of it is in one line, with a word."""
+    cut = F.split(text, r"\n|(?<=[.!?])[^\S\n]+")
     return F.array_distinct(F.transform(F.filter(cut, lambda p: F.btrim(p, F.lit(SPACES)) != ""), lambda p: F.xxhash64(p)))
 
 
