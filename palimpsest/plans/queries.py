@@ -242,6 +242,8 @@ register("mysql_date_format", over("SELECT o_orderkey, o_orderdate FROM orders")
          "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS a, strftime(o_orderdate, '%d/%-m/%y') AS b, datediff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS days FROM orders")
 register("vector_topk", over("SELECT vec_id, embedding FROM embeddings")(lambda d: vectors.nearest(d, "embedding", d.filter("vec_id = 7"), "embedding", 10, ["vec_id"])),
          "SELECT e.vec_id, ROUND(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))), 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY distance, e.vec_id LIMIT 10")
+register("vector_topk_each", over("SELECT vec_id, embedding FROM embeddings")(lambda d: vectors.nearest_each(d, "embedding", d.filter("vec_id % 50 = 0"), "embedding", 10, "vec_id", "vec_id")),
+         "SELECT query_vec_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_vec_id ORDER BY distance, vec_id) AS r FROM (SELECT q.vec_id AS query_vec_id, e.vec_id, ROUND(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))), 6) AS distance FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)) WHERE r <= 10")
 register("vector_cosine", over("SELECT vec_id, embedding FROM embeddings")(lambda d: d.select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.transform("embedding", lambda x: x * 2 + 1)), 5).alias("d"))),
          "SELECT vec_id, ROUND(1 - list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 5) AS d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, list_transform(embedding, lambda x: CAST(x * 2 + 1 AS DOUBLE)) AS b FROM embeddings)")
 register("fulltext_match", over("SELECT item_id, text FROM benchmark")(lambda d: fulltext.match_any(d, ["text"], "the was") .select("item_id")), "SELECT item_id FROM benchmark WHERE len(list_intersect(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_'']+'), lambda w: w <> ''), ['the', 'was'])) > 0")
