@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+
 import corpus_pipeline
 
 
@@ -74,3 +76,26 @@ def test_ids_neither_join_nor_lose_rows(spark):
     for n in (1, 6):
         got = corpus_pipeline.without_near_copies(spark, frame(spark, rows).repartition(n), "").collect()
         assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_run_equals_a_plain_version_at_080(spark):
+    """run() as a whole, the near copies from 0.8 on by comparing every two texts that share a shingle."""
+    from palimpsest.llm import mixing, toxicity
+    from tests.llm.test_texts import brute_dedup
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    model = toxicity.learned(spark, sf)
+    channel = model.channel()
+    left = {i: r.text or "" for i, r in docs.items() if model.score(model.evidence(channel, r.text or "")) < 0.5}
+    assert 0 < len(docs) - len(left) < len(docs) // 4
+    ids = sorted(left)
+    roots = plain_components([left[i] for i in ids])
+    left = {ids[r]: left[ids[r]] for r in set(roots)}
+    cut = brute_dedup(list(left.items()))
+    left = {i: (cut[i][2] if cut[i][1] else t) for i, t in left.items() if cut[i][1] < cut[i][0] or not cut[i][1]}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [(i, t, docs[i].lang, docs[i].source, len(t)) for i, t in left.items()])
+    want = sorted((i, t) for i, t in con.sql(f"SELECT doc_id, text FROM ({mixing.SQL})").fetchall())
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.run(spark, sf).collect()) == want
