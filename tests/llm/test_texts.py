@@ -7,8 +7,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from palimpsest.llm import encoding, mixing, simhash, substrings, toxicity
+from palimpsest.llm import encoding, substrings, toxicity
 from palimpsest.llm.token_counts import _path
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -184,43 +183,3 @@ def test_toxicity_of_odd_tables(spark):
     none = toxicity.fit(df.select("text", F.lit(None).cast("int").alias("toxic")))
     assert {r.predicted for r in toxicity.score(df, none).collect()} == {0}
     assert toxicity.score(df.limit(0), none).collect() == [] and toxicity.clean(df, none).count() == 4
-
-
-# --- pipeline
-
-
-def test_pipeline_equals_a_plain_version(spark):
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    model = toxicity.learned(spark, SF)
-    channel = model.channel()
-    left = {i: r.text or "" for i, r in docs.items() if model.score(model.evidence(channel.words(r.text or ""))) < 0.5}
-    assert 0 < len(docs) - len(left) < len(docs) // 4
-    prints = {i: simhash.fingerprint(t.encode(), 5) for i, t in left.items()}
-    by = {}
-    for i in sorted(left):
-        by.setdefault(prints[i], i)
-    root = {f: f for f in by}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in by:
-        for b in by:
-            if a < b and (a ^ b).bit_count() <= 4:
-                root[find(a)] = find(b)
-    first = {}
-    for f, i in by.items():
-        first[find(f)] = min(i, first.get(find(f), i))
-    left = {i: left[i] for i in first.values()}
-    cut = brute_dedup(list(left.items()))
-    left = {i: (cut[i][2] if cut[i][1] else t) for i, t in left.items() if cut[i][1] < cut[i][0] or not cut[i][1]}
-    con = duckdb.connect()
-    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
-    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [(i, t, docs[i].lang, docs[i].source, len(t)) for i, t in left.items()])
-    want = sorted((i, t) for i, t in con.sql(f"SELECT doc_id, text FROM ({mixing.SQL})").fetchall())
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert sorted((r.doc_id, r.text) for r in rows) == want
-    pieces = encoding.Pieces()
-    assert all(pieces.decode(r.ids) == r.text for r in rows[:200])
