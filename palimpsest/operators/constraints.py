@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FOREIGN, UNIQUE, CHECK, NOT_NULL = "foreign key", "unique index", "check constraint", "not null"
+
 
 def foreign_key(child: DataFrame, columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str]) -> DataFrame:
     """Child rows whose key no parent row has. A null in any key column exempts a row."""
@@ -49,15 +52,70 @@ def violations(tables: dict[str, DataFrame], rules: Sequence[dict]) -> DataFrame
 def breaking(tables: dict[str, DataFrame], rule: dict) -> tuple[DataFrame, str]:
     """Rows that break a rule, and the rule in words."""
     df = tables[rule["table"]]
-    if rule["kind"] == "foreign key":
+    if rule["kind"] == FOREIGN:
         return foreign_key(df, rule["columns"], tables[rule["parent"]], rule["parent_columns"]), f"{','.join(rule['columns'])} -> {rule['parent']}({','.join(rule['parent_columns'])})"
-    if rule["kind"] == "unique index":
+    if rule["kind"] == UNIQUE:
         return unique(df, rule["columns"]), ",".join(rule["columns"])
-    if rule["kind"] == "check constraint":
+    if rule["kind"] == CHECK:
         return check(df, rule["condition"]), rule["condition"]
     return not_null(df, rule["columns"]), ",".join(rule["columns"])
 
 
+def first_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with one row for each value of the columns; rows with a null among these all stay."""
+    whole = " AND ".join(f"`{c}` IS NOT NULL" for c in columns)
+    return df.filter(whole).dropDuplicates([*columns]).unionByName(df.filter(f"NOT ({whole})"))
+
+
+def name_of(table: str, rule: dict, others: Sequence[dict]) -> str:
+    """A name for a rule without one."""
+    stem = {FOREIGN: f"{table}_ibfk", UNIQUE: "_".join(rule.get("columns", [])), CHECK: f"{table}_chk"}[rule["kind"]]
+    taken, n = {r["name"] for r in others}, 1
+    if rule["kind"] == UNIQUE and stem not in taken:
+        return stem
+    while f"{stem}_{n}" in taken:
+        n += 1
+    return f"{stem}_{n}"
+
+
+def renamed_facts(facts: dict, renamed: dict[str, str], dropped: Sequence[str] = ()) -> dict:
+    """Defaults, rules and indexes of a table some of whose columns have new names or are gone. A rule of a dropped column goes;
+    a check that names one can't stay either."""
+    new = lambda c: renamed.get(c, c)
+
+    def text(e: str) -> str:
+        return re.sub(r"`?\b(\w+)\b`?", lambda m: f"`{renamed[m[1]]}`" if m[1] in renamed else m[0], e) if renamed else e
+
+    def names(e: str) -> set[str]:
+        return {*re.findall(r"\w+", e)}
+
+    out = dict(facts)
+    for kind in ("defaults", "generated"):
+        out[kind] = {new(c): text(e) for c, e in facts.get(kind, {}).items() if c not in dropped}
+    for kind in ("not_null", "json"):
+        out[kind] = [new(c) for c in facts.get(kind, []) if c not in dropped]
+    out["auto"] = None if facts.get("auto") in dropped else new(facts["auto"]) if facts.get("auto") else None
+    out["indexes"] = [{**x, "columns": [new(c) for c in x["columns"]]} for x in facts.get("indexes", []) if not {*x["columns"]} & {*dropped}]
+    rules = []
+    for r in facts.get("rules", []):
+        if {*r.get("columns", [])} & {*dropped} or (r["kind"] == CHECK and names(r["condition"]) & {*dropped}):
+            continue
+        r = {**r, **({"columns": [new(c) for c in r["columns"]]} if "columns" in r else {}), **({"condition": text(r["condition"])} if "condition" in r else {})}
+        rules.append(r)
+    out["rules"] = rules
+    return out
+
+
+def numbered_nulls(df: DataFrame, column: str, start: int) -> DataFrame:
+    """df with nulls of the column numbered from `start` on, in df's own order; df has to be a table or a list of rows, which
+    gives its rows in one order each time."""
+    from palimpsest.operators.diff import numbered
+
+    kind = df.schema[column].dataType
+    new = numbered(df.filter(F.col(column).isNull()), "_no").withColumn(column, (F.col("_no") + (start - 1)).cast(kind)).drop("_no")
+    return df.filter(F.col(column).isNotNull()).unionByName(new)
+
+
 def auto_increment(df: DataFrame, column: str, start: int, order: Sequence[str]) -> DataFrame:
     """df with nulls of the column numbered from `start` on, by `order` among them: ranks of a hash range, then offsets.
 
@@ -68,10 +126,9 @@ def auto_increment(df: DataFrame, column: str, start: int, order: Sequence[str])
     sizes = {r["_p"]: r["n"] for r in ranges.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return df
-    before, total = {}, start
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
+    from palimpsest.operators.diff import offsets
+
     w = Window.partitionBy("_p").orderBy(*order)
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_p"))
-    given = ranges.withColumn(column, (base + F.row_number().over(w) - 1).cast(df.schema[column].dataType)).drop("_p")
+    placed = ranges.withColumn("_r", F.row_number().over(w)).join(offsets(df.sparkSession, sorted(sizes.items()), start), "_p")
+    given = placed.withColumn(column, (F.col("_before") + F.col("_r") - 1).cast(df.schema[column].dataType)).select(*df.columns)
     return df.filter(F.col(column).isNotNull()).unionByName(given)

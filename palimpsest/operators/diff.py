@@ -73,12 +73,24 @@ def bag_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     columns = after.columns
     sized = before.select(*columns, F.lit(-1).cast("long").alias("n")).union(after.select(*columns, F.lit(1).cast("long").alias("n")))
     delta = sized.groupBy(*columns).agg(F.sum("n").alias("n")).filter("n <> 0")
-    one_each = delta.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))))
+    one_each = copies(delta, "n")
     to = [F.when(F.col("n") > 0, F.col(c)).alias(f"to_{c}") for c in columns]
     of = [F.when(F.col("n") < 0, F.col(c)).alias(f"from_{c}") for c in columns]
     return one_each.select(*to, *of, F.when(F.col("n") > 0, ADDED).otherwise(REMOVED).alias("diff_type"))
 
 
+#: Copies that one array has; more are dealt in blocks of so many, so that no array grows with a row's copies.
+COPIES = 1 << 16
+
+
+def copies(df: DataFrame, n: str) -> DataFrame:
+    """Each row as often as the size of the number n says, n included."""
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.abs(n) - 1) / COPIES).cast("long"))
+    block = df.filter(F.col(n) != 0).withColumn("_block", F.explode(blocks))
+    size = F.least(F.lit(COPIES).cast("long"), F.abs(n) - F.col("_block") * COPIES)
+    return block.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), size.cast("int")))).drop("_block", "_copy")
+
+
 def bag_stat(before: DataFrame, after: DataFrame) -> DataFrame:
     """rows_added and rows_deleted of tables without keys; the other figures of diff_stat are null for these."""
     columns = after.columns
@@ -89,12 +101,12 @@ def bag_stat(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def diff_stat(before: DataFrame, after: DataFrame, keys: Sequence[str], table: str = "") -> DataFrame:
+def diff_stat(before: DataFrame, after: DataFrame, keys: Sequence[str], table: str = "", same: int = 0) -> DataFrame:
     """One row: rows unmodified, added, deleted and modified, and the same of cells, with both versions' sizes.
 
     Cells of rows added and deleted are counted by the new version's width; a column that only one version has adds its
     cells to the added or the deleted ones, and one cell to each modified row. Where both versions have as many cells, the
-    larger of the two counts is both.
+    larger of the two counts is both. `same` rows of both versions, known to be equal, were left out of the frames.
     """
     joined, old, new = sides(before, after, keys)
     shared = [c for c in new if c in old and c not in keys]
@@ -109,7 +121,7 @@ def diff_stat(before: DataFrame, after: DataFrame, keys: Sequence[str], table: s
         return F.coalesce(F.sum(F.coalesce(condition, F.lit(False)).cast("long")), F.lit(0))
 
     sums = joined.agg(
-        count(F.col("in_from")).alias("old_row_count"), count(F.col("in_to")).alias("new_row_count"), count(F.col("in_from").isNull()).alias("rows_added"),
+        (count(F.col("in_from")) + same).alias("old_row_count"), (count(F.col("in_to")) + same).alias("new_row_count"), count(F.col("in_from").isNull()).alias("rows_added"),
         count(F.col("in_to").isNull()).alias("rows_deleted"), count(modified).alias("rows_modified"), F.coalesce(F.sum(F.when(modified, changed + len({*old} ^ {*new}))), F.lit(0)).cast("long").alias("cells_modified"),
     )
     cells = sums.withColumn("old_cell_count", F.col("old_row_count") * len(old)).withColumn("new_cell_count", F.col("new_row_count") * len(new))
@@ -158,18 +170,21 @@ def query_diff(first: DataFrame, second: DataFrame, keys: Sequence[str] | None =
 def numbered(df: DataFrame, name: str = "row_no") -> DataFrame:
     """df's rows numbered from 1 in their order, without gathering them: numbers within partitions plus the sizes before.
 
-    Partition sizes, one number for each, are all that the driver sees. The order is that of the partitions.
+    Partition sizes, one number for each, are all that the driver sees, and go back as a small table that is joined. The order
+    is that of the partitions.
     """
-    placed = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    before, total = {}, 0
-    for r in sizes:
-        before[r["p"]], total = total, total + r["n"]
-    if not before:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part)
-    return placed.withColumn(name, offset + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id")
+    placed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect()
+    return placed.join(offsets(df.sparkSession, [(r["_p"], r["n"]) for r in sizes]), "_p").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).select(*df.columns, name)
+
+
+def offsets(spark, sizes: Sequence[tuple[int, int]], start: int = 0) -> DataFrame:
+    """(_p, _before): how many rows come before each part, from the parts' sizes in order; two numbers for each, to be broadcast."""
+    rows, total = [], start
+    for p, n in sizes:
+        rows.append((p, total))
+        total += n
+    return F.broadcast(spark.createDataFrame(rows, "_p long, _before long"))
 
 
 def latest_by_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -178,6 +193,12 @@ def latest_by_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str])
     return changes.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def last_of(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of rows with one key the last in their own order."""
+    last = rows.withColumn("_id", F.monotonically_increasing_id()).groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns]), "_id").alias("r"))
+    return last.select("r.*")
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """table with rows put in: a row of an existing key replaces it."""
     return table.join(rows, [table[k].eqNullSafe(rows[k]) for k in keys], "left_anti").unionByName(rows, allowMissingColumns=True)

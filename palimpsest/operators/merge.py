@@ -76,16 +76,19 @@ def merge_counts(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequ
 
 def merged_rows(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str], on_conflict: str = "ours", documents: Sequence[str] = ()) -> DataFrame:
     """The merged table: cell by cell the side that changed; conflicting rows as `on_conflict` says (ours or theirs)."""
-    columns = [c for c in base.columns if c not in keys]
-    rows = classified(base, ours, theirs, keys, documents)
+    return resolved(classified(base, ours, theirs, keys, documents), keys, [c for c in base.columns if c not in keys], on_conflict)
+
+
+def resolved(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], on_conflict: str = "ours") -> DataFrame:
+    """The merged table of `classified` rows."""
     conflict = F.col("op").isin(*CONFLICTS)
     side = "our" if on_conflict == "ours" else "their"
     alive = F.when(conflict, F.col(f"in_{on_conflict}")).otherwise(~F.col("op").isin("convergentDelete", "leftDelete", "rightDelete"))
 
     def cell(c: str) -> Column:
         b, o, t = F.col(f"base_{c}"), F.col(f"our_{c}"), F.col(f"their_{c}")
-        resolved = F.when(~F.col("in_ours"), t).when(~F.col("in_theirs"), o).when(differs(o, b), o).otherwise(t)
-        return F.when(conflict, F.col(f"{side}_{c}")).otherwise(resolved).alias(c)
+        merged = F.when(~F.col("in_ours"), t).when(~F.col("in_theirs"), o).when(differs(o, b), o).otherwise(t)
+        return F.when(conflict, F.col(f"{side}_{c}")).otherwise(merged).alias(c)
 
     return rows.filter(alive).select(*keys, *[cell(c) for c in columns])
 
@@ -98,8 +101,12 @@ def side_type(side: str, columns: Sequence[str]) -> Column:
 
 def conflicts(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: Sequence[str], documents: Sequence[str] = ()) -> DataFrame:
     """Conflicting rows as base_<c>, our_<c>, our_diff_type, their_<c>, their_diff_type; a side without the row is null."""
-    columns = [c for c in base.columns if c not in keys]
-    rows = classified(base, ours, theirs, keys, documents).filter(F.col("op").isin(*CONFLICTS))
+    return conflicting(classified(base, ours, theirs, keys, documents), keys, [c for c in base.columns if c not in keys])
+
+
+def conflicting(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The conflicts among `classified` rows."""
+    rows = rows.filter(F.col("op").isin(*CONFLICTS))
 
     def of(side: str, there: str) -> list[Column]:
         return [*[F.when(F.col(there), F.col(k)).alias(f"{side}_{k}") for k in keys], *[F.col(f"{side}_{c}") for c in columns]]

@@ -55,17 +55,17 @@ def data_statements(table: str, before: DataFrame, after: DataFrame, keys: Seque
     return rows.select("diff_type", statement.alias("statement"))
 
 
-def table_patch(table: str, before: DataFrame | None, after: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+def table_patch(table: str, before: DataFrame | None, after: DataFrame | None, keys: Sequence[str], facts: dict | None = None, old_facts: dict | None = None) -> DataFrame:
     """(table_name, diff_type schema or data, statement, phase): run by phase. A dropped table needs no deletes."""
     spark = (after if after is not None else before).sparkSession
     kind = "table_name string, diff_type string, statement string, phase int"
     if after is None:
         return spark.createDataFrame([(table, "schema", f"DROP TABLE `{table}`;", 0)], kind)
     if before is None:
-        first = [schema.create_statement(table, after.schema, keys)]
+        first = [schema.create_statement(table, after.schema, keys, facts)]
         data = after.select(F.lit(table), F.lit("data"), insert_statement(table, after.columns, {f.name: f.dataType for f in after.schema.fields}), F.lit(1))
     else:
-        first = schema.alter_statements(table, before.schema, after.schema)
+        first = schema.alter_statements(table, before.schema, after.schema, keys, facts, old_facts)
         data = data_statements(table, before, after, keys).select(F.lit(table), F.lit("data"), "statement", F.lit(1))
     return spark.createDataFrame([(table, "schema", s, 0) for s in first], kind).union(data)
 

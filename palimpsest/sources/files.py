@@ -25,10 +25,22 @@ def format_of(path: str, given: str | None = None) -> str:
     return kind
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, columns: Sequence[str] = (), types: T.StructType | None = None, quote: str = '"', escape: str = '"', skip: int = 0, comment: str | None = None) -> DataFrame:
+def _odd_quotes(spark: SparkSession, path: str, quote: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a quoted field goes on over a line's end. The file is read in
+    splits, and the search ends with the first such line."""
+    lines = spark.read.text(path)
+    odd = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return not lines.filter(odd % 2 == 1).limit(1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, columns: Sequence[str] = (), types: T.StructType | None = None, quote: str = '"', escape: str = '"', skip: int = 0, comment: str | None = None, multiline: bool | None = None) -> DataFrame:
     """A field without characters is null, "" in quotes is empty text; quoted fields may hold line ends; a byte order mark
-    is left out. All columns are text unless types are given; `infer` finds some. `skip` leaves out first lines of data."""
-    reader = spark.read.options(sep=sep, header=header, multiLine=True, quote=quote, escape=escape, nullValue="", emptyValue=_EMPTY, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    is left out. All columns are text unless types are given; `infer` finds some. `skip` leaves out first lines of data.
+
+    A file is read by many tasks unless a field goes on over a line's end, which only one task can tell: `multiline` says so,
+    or is found out."""
+    multiline = _odd_quotes(spark, path, quote) if multiline is None else multiline
+    reader = spark.read.options(sep=sep, header=header, multiLine=multiline, quote=quote, escape=escape, nullValue="", emptyValue=_EMPTY, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if comment:
         reader = reader.option("comment", comment)
     df = reader.csv(path)
@@ -157,6 +169,41 @@ def load(repo, table: str, path: str, mode: str = "create", keys: Sequence[str]
     return repo.insert(table, df, {"append": "error", "update": "replace"}[mode])
 
 
+# --- LOAD DATA, INTO OUTFILE
+
+
+def field_options(items: list) -> dict[str, str]:
+    """FIELDS TERMINATED BY, [OPTIONALLY] ENCLOSED BY, ESCAPED BY and LINES TERMINATED BY of a statement's tokens."""
+    from palimpsest.plans.dialect import find, is_string, value
+
+    out = {"sep": "\t", "quote": "", "escape": "\\", "line": "\n"}
+    lines = find(items, "lines")
+    for key, words, start in (("sep", ("terminated", "by"), 0), ("quote", ("enclosed", "by"), 0), ("escape", ("escaped", "by"), 0), ("line", ("terminated", "by"), max(lines, 0))):
+        at = find(items, *words, start=start)
+        if at >= 0 and is_string(items[at + 2]) and (key != "sep" or lines < 0 or at < lines) and (key != "line" or lines >= 0):
+            out[key] = value(items[at + 2])
+    return out
+
+
+def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], skip: int = 0, sep: str = "\t", quote: str = "", escape: str = "\\", line: str = "\n") -> DataFrame:
+    """A file as LOAD DATA reads it: text columns by place, \\N is null, first lines may be left out."""
+    options = {"sep": sep, "quote": quote, "escape": escape, "nullValue": "\\N", "emptyValue": "", "header": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if line not in ("\n", "\r\n"):
+        options["lineSep"] = line
+    kinds = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    df = spark.read.options(**options).schema(kinds).csv(path)
+    return diff.numbered(df).filter(F.col("row_no") > skip).drop("row_no") if skip else df
+
+
+def write_delimited(df: DataFrame, path: str, sep: str = "\t", quote: str = "", escape: str = "\\", line: str = "\n") -> None:
+    """A folder of part files as INTO OUTFILE writes them: no header, null as \\N."""
+    plain = df.select(*[(F.to_json(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`").cast("string")).alias(f.name) for f in df.schema.fields])
+    options = {"sep": sep, "quote": quote, "escape": escape, "nullValue": "\\N", "emptyValue": "", "header": False}
+    if quote:
+        options["quoteAll"] = True
+    plain.write.options(**options).csv(path)
+
+
 # --- export
 
 
@@ -169,7 +216,7 @@ def write_any(df: DataFrame, path: str, kind: str | None = None, table: str = "t
     elif kind == "jsonl":
         df.write.json(path, ignoreNullFields=False)
     elif kind == "json":
-        df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+        _write_document(df, path)
     elif kind == "parquet":
         df.write.parquet(path)
     elif kind == "sql":
@@ -180,6 +227,33 @@ def write_any(df: DataFrame, path: str, kind: str | None = None, table: str = "t
         raise ValueError(f"{kind} can only be read")
 
 
+def _write_document(df: DataFrame, path: str) -> None:
+    """One document {"rows": [...]}: the rows are written by all tasks as part files, whose bytes the file system then puts after
+    each other, with the commas between; no row passes through the driver's Python."""
+    spark, parts = df.sparkSession, f"{path}.parts"
+    row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    df.select(F.concat(F.lit(","), row).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (parts, path))
+    fs = source.getFileSystem(conf)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(b'{"rows": ['))
+        first = True
+        for status in sorted(fs.listStatus(source), key=lambda s: s.getPath().getName()):
+            if status.getPath().getName().startswith("part-") and status.getLen():
+                stream = fs.open(status.getPath())
+                if first:
+                    stream.read()  # the comma before the first row
+                    first = False
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                stream.close()
+        out.write(bytearray(b"]}"))
+    finally:
+        out.close()
+    fs.delete(source, True)
+
+
 def dump_database(repo, path: str, kind: str = "sql", as_of: str = "WORKING") -> None:
     for name, h in sorted(repo.manifest(as_of).items()):
         write_any(repo.snapshot(h), f"{path}/{name}.{kind}", kind, name, repo.keys(h), batch=100)

@@ -43,21 +43,25 @@ def apply_batch(table: DataFrame, events: DataFrame, keys: Sequence[str], positi
 def follow(repo, table: str, stream: DataFrame, keys: Sequence[str], position: Sequence[str], checkpoint: str, commit: bool = True, accept: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Apply a stream of events to a table of a repo, a commit for each micro-batch.
 
-    The batch id is in the commit message; a batch that was committed before a restart is skipped, so that each is applied
-    once. The checkpoint folder keeps the position in the stream.
+    The number of the last batch is kept with the database's state, by checkpoint, and changes with it at once; a batch that was
+    applied before a restart is skipped, so that each is applied once. Only buckets that the batch touches are written.
     """
     def step(batch: DataFrame, number: int) -> None:
-        message = f"batch {number} of {table}"
-        if any(c.message == message for c in repo.graph.first_parents(repo.head())):
+        done = repo.config.setdefault("positions", {})
+        if done.get(checkpoint, -1) >= number:
             return
-        events = accept(batch) if accept else batch
-        events = events.persist()
+        last = repo._staged_rows(net_changes(accept(batch) if accept else batch, keys, position))
+        repo.begin()  # rows, position and commit become visible together
         try:
-            repo.write_table(table, apply_batch(repo.table(table), events, keys, position), keys)
+            repo.apply_rows(table, last.select(*keys), last.filter("op <> 'delete'").select(*repo.table(table).columns))
+            done[checkpoint] = number
             if commit:
-                repo.commit(message, all=True, allow_empty=True)
-        finally:
-            events.unpersist()
+                repo.commit(f"batch {number} of {table}", all=True, allow_empty=True)
+        except Exception:
+            repo.rollback()
+            raise
+        repo.end()
+        repo.clear_staging()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
