@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACES, read
+from palimpsest.llm.common import SPACES, read, stored
 from palimpsest.llm.quality import _let
 
-#: Cells of a stored fingerprint; a multiple of 3. A retry has GROWTH times as many as the try before, up to LARGEST;
-#: two texts that still differ by more than that recovers exchange their digests whole, as if each had a cell of its own.
-CELLS, GROWTH, LARGEST = 24, 4, 1536
+#: Cells of a stored fingerprint, a multiple of 3. Tables for likeness have twice as many, four times, ...
+CELLS = 24
+#: Cells of the first table for two texts, for each paragraph of both; where peeling fails, the next has GROWTH times as many.
+FIRST, GROWTH = 3, 2
 #: A line longer than so many code points is cut at its sentences' ends into paragraphs: every line.
 LONG_LINE = 0
-#: Rounds of peeling; each takes out all elements that are alone in a cell.
-ROUNDS = 20
+#: Rounds of peeling a table; each takes out what is alone in a cell of the first third, then the second, then the last.
+ROUNDS = 3
+#: Digests whose cells are peeled together in one task, three entries each, and tasks at most; beyond these a task has more and
+#: Spark's aggregates spill.
+PER_TASK, MOST_TASKS = 1 << 18, 1 << 17
 #: Documents of a block, in which each finds its successor; blocks at most.
 BLOCK, MAX_BLOCKS = 1024, 1 << 14
 
@@ -30,10 +34,14 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit("check")).bitwiseAND(0xFFFFFFFF)
 
 
-def _element(key: Column, third: Column, times: Column | None = None) -> Column:
-    """A key with its check and its cell in each third of the table, and how often a cell has it."""
-    cell = [(F.pmod(F.shiftright(F.xxhash64(key, F.lit("cell")), 20 * j).bitwiseAND(0xFFFFF), third) + j * third).cast("int") for j in range(3)]
-    return F.struct((F.lit(1) if times is None else times).alias("n"), key.alias("k"), _check(key).alias("c"), *[x.alias(f"i{j}") for j, x in enumerate(cell)])
+def _cells(key: Column, third: Column) -> list[Column]:
+    """A key's cell in each third of the table."""
+    return [(F.pmod(F.shiftright(F.xxhash64(key, F.lit("cell")), 20 * j).bitwiseAND(0xFFFFF), third) + j * third).cast("int") for j in range(3)]
+
+
+def _element(key: Column, third: Column) -> Column:
+    """A key with its check and its cells."""
+    return F.struct(key.alias("k"), _check(key).alias("c"), *[x.alias(f"i{j}") for j, x in enumerate(_cells(key, third))])
 
 
 def _by_cell(elements: Column, third: Column, cell) -> Column:
@@ -60,69 +68,83 @@ def sketch(keys: Column, cells: Column | int = CELLS) -> Column:
     return _let(F.transform(keys, lambda k: _element(k, third)), lambda es: _by_cell(es, third, added))
 
 
-def minus(a: Column, b: Column) -> Column:
-    """Cell by cell; what both hold cancels out."""
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
-
-
-def peel(difference: Column) -> Column:
-    """(done, ours, theirs): the keys that only the first or only the second sketch held, if done.
-
-    A cell with one key that its check confirms gives that key away; it is taken out of its other cells, which leaves
-    others alone there. It is done when nothing is left.
-    """
-    return _let(difference, lambda d: _let((F.size(d) / 3).cast("int"), lambda third: _peeled(d, third)))
+#: Places before a table's cells: what peeling has found on either side, and how many digests both texts have.
+_OURS, _THEIRS, _SIZE, _FIRST = 0, 1, 2, 3
 
 
-def _peeled(difference: Column, third: Column) -> Column:
-    none = F.array().cast("array<struct<n:int,k:bigint>>")
-    start = F.struct(difference.alias("cells"), none.alias("found"), F.lit(True).alias("more"))
+def _at(m: Column, place: Column) -> Column:
+    """A table's number of cells and a place in it as one number, by which entries are added up."""
+    return F.shiftleft(m.cast("long"), 32) + place
 
-    def take(cells: Column, alone: Column) -> Column:
-        return _by_cell(alone, third, lambda i, es: F.aggregate(
-            es, F.get(cells, i), lambda s, a: _cell(s["n"] - a["n"], s["k"].bitwiseXOR(a["k"]), s["c"].bitwiseXOR(a["c"]))
-        ))
 
-    def again(s: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["c"])), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
-        stepped = _let(pure, lambda p: F.struct(
-            _let(F.transform(p, lambda x: _element(x["k"], third, x["n"])), lambda alone: take(s["cells"], alone)).alias("cells"),
-            F.concat(s["found"], p).alias("found"), (F.size(p) > 0).alias("more"),
-        ))
-        return F.when(s["more"], stepped).otherwise(s)
+def _summed(entries: DataFrame, by: list[str], keep: bool) -> DataFrame:
+    """Entries of the same place added up; empty cells go. Rows of one id are in one task already, so nothing is shuffled."""
+    summed = entries.groupBy(*by, "at", *["found"] * keep).agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    return summed.filter(f"(at & 4294967295) < {_FIRST} OR n <> 0 OR k <> 0 OR c <> 0")
 
-    def outcome(s: Column) -> Column:
-        left = F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
-        only = [F.transform(F.filter(s["found"], lambda f: f["n"] == n), lambda f: f["k"]) for n in (1, -1)]
-        return F.struct((~left).alias("done"), only[0].alias("ours"), only[1].alias("theirs"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, again, outcome)
+def _entry(at: Column, n: Column, k: Column, c: Column, found: Column | None = None) -> Column:
+    return F.struct(at.alias("at"), n.cast("long").alias("n"), k.cast("long").alias("k"), c.cast("long").alias("c"), *([] if found is None else [found.cast("long").alias("found")]))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """(ours, theirs, cells): the digests of two arrays that the other lacks, from the difference of their sketches.
+def _subtracted(df: DataFrame, by: list[str], keep: bool) -> DataFrame:
+    """The cells of the first sketch minus the second, of m cells each, as rows; a cell that both hold alike cancels out."""
+    none, m = F.lit(None) if keep else None, F.col("m")
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("a").alias("ks")), F.struct(F.lit(-1).alias("sign"), F.col("b").alias("ks")), F.struct(F.lit(0).alias("sign"), F.array((F.size("a") + F.size("b")).cast("long")).alias("ks"))))
+    keys = df.select(*by, "m", sides.alias("s")).select(*by, "m", "s.sign", F.explode("s.ks").alias("key"))
+    element = F.array(*[_entry(_at(m, x + _FIRST), F.col("sign"), F.col("key"), _check(F.col("key")), none) for x in _cells(F.col("key"), (m / 3).cast("int"))])
+    size = F.array(_entry(_at(m, F.lit(_SIZE)), F.col("key"), F.lit(0), F.lit(0), none))
+    return _summed(keys.select(*by, F.explode(F.when(F.col("sign") == 0, size).otherwise(element)).alias("e")).select(*by, "e.*"), by, keep)
 
-    A failed peeling is tried again with larger sketches. cells says which size succeeded (LARGEST * GROWTH: the digests
-    themselves, beyond what tables recover).
-    """
-    sizes, m = [], CELLS
-    while m <= LARGEST:
-        sizes.append(m)
-        m *= GROWTH
 
-    def tried(m: Column) -> Column:
-        return _let(peel(minus(sketch(a, m), sketch(b, m))), lambda p: F.struct(p["done"].alias("done"), p["ours"].alias("ours"), p["theirs"].alias("theirs"), m.alias("cells")))
+def _peeled(entries: DataFrame, by: list[str], third_no: int, keep: bool) -> DataFrame:
+    """What is alone in a cell of one third, as its check confirms, is taken out of its two other cells and put down as found.
+    A key has one cell in a third, so none is taken out twice."""
+    m, key, n, none = F.shiftright("at", 32), F.col("k"), F.col("n"), F.lit(None) if keep else None
+    homes = [_at(m, x + _FIRST) for x in _cells(key, (m / 3).cast("int"))]
+    alone = (F.abs("n") == 1) & (_check(key) == F.col("c")) & (homes[third_no] == F.col("at"))
+    found = _entry(_at(m, F.when(n > 0, F.lit(_OURS)).otherwise(F.lit(_THEIRS))), F.lit(1), F.lit(0), F.lit(0), key if keep else None)
+    out = [_entry(homes[j], -n, key, F.col("c"), none) for j in range(3) if j != third_no]
+    itself = _entry(F.col("at"), n, key, F.col("c"), F.col("found") if keep else None)
+    return _summed(entries.select(*by, F.explode(F.when(alone, F.array(found, *out)).otherwise(F.array(itself))).alias("e")).select(*by, "e.*"), by, keep)
 
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(False).alias("done"), none.alias("ours"), none.alias("theirs"), F.lit(0).alias("cells"))
-    last = F.struct(F.lit(True).alias("done"), F.array_except(a, b).alias("ours"), F.array_except(b, a).alias("theirs"), F.lit(m).alias("cells"))
-    return F.aggregate(F.array(*[F.lit(x) for x in sizes]), start, lambda s, m: F.when(s["done"], s).otherwise(tried(m)), lambda s: F.when(s["done"], s).otherwise(last))
 
+def differing(pairs: DataFrame, by: list[str], keep: bool = False) -> DataFrame:
+    """(by, cells, size, n_ours, n_theirs) of (by, a, b): how many digests of the arrays a and b the other lacks, from the
+    difference of their sketches, how many cells that took and how many digests both have. `keep` adds the digests, as ours and
+    theirs. The first of the `by` columns decides where a row is worked on.
 
-def likeness(a: Column, b: Column) -> Column:
-    """Twice the shared digests over all of both, from what peeling recovers; 1 if both are empty."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(_let(differing(a, b), lambda d: 1.0 - (F.size(d["ours"]) + F.size(d["theirs"])) / both))
+    The two sketches are subtracted cell by cell and peeled; the first table has FIRST cells for each digest of both, and rows
+    that peeling doesn't finish get one GROWTH times as large, and so on until none is left. Cells are rows of a table, so work
+    and memory follow the number of digests. Rows of one id stay in one task: the arrays are shuffled once for each try. Pairs
+    are read for each try, so they had better be a table.
+    """
+    pairs = pairs.select(*by, "a", "b")
+    left = pairs.withColumn("m", (F.lit(CELLS) * F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2((F.size("a") + F.size("b") + 1) * FIRST / CELLS))))).cast("int"))
+    done = None
+    while True:
+        total = left.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, total // PER_TASK))
+        entries = _subtracted(left.repartition(tasks, by[0]), by, keep)
+        for _ in range(ROUNDS):
+            for j in range(3):
+                entries = _peeled(entries, by, j, keep)
+        place = F.col("at").bitwiseAND((1 << 32) - 1)
+        n = lambda which: F.coalesce(F.sum(F.when(place == which, F.col("n"))), F.lit(0))
+        sides = [F.collect_list(F.when(place == which, F.col("found"))).alias(name) for which, name in ((_OURS, "ours"), (_THEIRS, "theirs"))] if keep else []
+        tried = entries.groupBy(*by).agg(F.max(F.shiftright("at", 32)).cast("int").alias("cells"), F.max(place).alias("last"), n(_SIZE).alias("size"), n(_OURS).alias("n_ours"), n(_THEIRS).alias("n_theirs"), *sides)
+        tried = stored(tried, "fingerprint-peeled")
+        ready = tried.filter(F.col("last") < _FIRST).drop("last")
+        done = ready if done is None else done.unionByName(ready)
+        failed = tried.filter(F.col("last") >= _FIRST).select(*by, (F.col("cells") * GROWTH).alias("m"))
+        if failed.isEmpty():
+            return done
+        left = stored(pairs.join(failed, by), "fingerprint-retry")
+
+
+def likeness(size: Column, n_ours: Column, n_theirs: Column) -> Column:
+    """Twice the shared digests over all of both; 1 if both are empty."""
+    return F.when(size == 0, F.lit(1.0)).otherwise(1.0 - (n_ours + n_theirs) / size)
 
 
 def written(table: Column, keys: Column) -> Column:
@@ -147,12 +169,12 @@ def with_next(df: DataFrame, key: Column, columns: list[str], name: str = "next_
 
     Keys are cut into blocks at values that some row has, so every block's first row is known by its key; it is sent to the
     block before as well, where it ends the order. One shuffle, and no task sees more than a block. Rows of one key follow
-    each other in an order of their text columns.
+    each other in an order of their text columns. `row` is a number of each row's own.
     """
     keyed = df.withColumn("k", F.coalesce(key.cast("long"), F.lit(-(1 << 63))))
     bounds = _bounds(keyed.select("k"))
     if not bounds:
-        return keyed.select(*df.columns, *[F.col(c).alias(name.format(c)) for c in columns])
+        return keyed.select(*df.columns, *[F.col(c).alias(name.format(c)) for c in columns], F.lit(0).cast("long").alias("row"))
     known = F.array(*[F.lit(b) for b in bounds])
     steps, s = [], 1
     while s < len(bounds):
@@ -165,29 +187,37 @@ def with_next(df: DataFrame, key: Column, columns: list[str], name: str = "next_
     homes = homes.otherwise(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("late"))))
     sent = keyed.withColumn("b", block).withColumn("home", F.explode(homes)).drop("b").select(*df.columns, "k", "home.b", "home.late")
     w = Window.partitionBy("b").orderBy("late", "k", *columns)
-    return sent.select(*df.columns, "late", *[F.lead(c).over(w).alias(name.format(c)) for c in columns]).filter("late = 0").drop("late")
+    row = (F.shiftleft(F.col("b").cast("long"), 40) + F.row_number().over(w)).alias("row")
+    return sent.select(*df.columns, "late", *[F.lead(c).over(w).alias(name.format(c)) for c in columns], row).filter("late = 0").drop("late")
 
 
-def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edited_as=lambda c: c) -> DataFrame:
     """Per row: doc_id, n_chars, edited (its second half replaced by as much of the next document's beginning), fingerprint,
-    edited_fingerprint, near_edited and near_next.
+    edited_fingerprint, near_edited, near_next, and cells_edited and cells_next, the sizes of the tables that were peeled.
 
-    A null text is empty. Of one document the next is itself. A null id comes first. Likeness counts paragraphs: a text of
-    one paragraph is like its edited version not at all. Texts are shuffled once.
+    A null text is empty. Of one document the next is itself. A null id comes first, rows of one id go by their text, ids are
+    whole numbers; an empty table gives no rows; other columns of df are neither read nor kept. Likeness counts paragraphs: a
+    text of one paragraph is like its edited version not at all. `edited_as` is what is kept of the edited text (a digest, say).
+    Texts are shuffled once and digests once for each try of peeling.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     pairs = with_next(docs, F.col("doc_id"), ["t"])
     half = F.floor(F.char_length("t") / 2).cast("int")
     edited = F.concat(F.substring("t", F.lit(1), F.char_length("t") - half), F.substring("next_t", F.lit(1), half))
-    cut = pairs.select("doc_id", F.char_length("t").cast("long").alias("n_chars"), digests(F.col("t")).alias("own"), edited.alias("edited"), digests(F.col("next_t")).alias("next"))
-    cut = cut.withColumn("new", digests(F.col("edited")))
-    return cut.select(
-        "doc_id", "n_chars", "edited",
-        written(sketch(F.col("own")), F.col("own")).alias("fingerprint"), written(sketch(F.col("new")), F.col("new")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
-    )
+    cut = pairs.select("row", "doc_id", F.char_length("t").cast("long").alias("n_chars"), digests(F.col("t")).alias("own"), edited.alias("edited"), digests(F.col("next_t")).alias("next"))
+    cut = cut.select("row", "doc_id", "n_chars", edited_as(F.col("edited")).alias("edited"), "own", digests(F.col("edited")).alias("new"), "next")
+    cut = stored(cut, "fingerprint-digests")
+    asked = cut.select("row", F.explode(F.array(*[F.struct(F.lit(which).alias("which"), F.col("own").alias("a"), F.col(other).alias("b")) for which, other in ((0, "new"), (1, "next"))])).alias("p")).select("row", "p.*")
+    found = differing(asked, ["row", "which"])
+    near = likeness(F.col("size"), F.col("n_ours"), F.col("n_theirs"))
+    of = lambda which, value: F.max(F.when(F.col("which") == which, value))
+    nears = found.groupBy("row").agg(of(0, near).alias("near_edited"), of(1, near).alias("near_next"), of(0, F.col("cells")).alias("cells_edited"), of(1, F.col("cells")).alias("cells_next"))
+    prints = cut.select("row", "doc_id", "n_chars", "edited", "own", "new")
+    return prints.join(nears, "row").select(
+        "doc_id", "n_chars", "edited", written(sketch(F.col("own")), F.col("own")).alias("fingerprint"), written(sketch(F.col("new")), F.col("new")).alias("edited_fingerprint"), "near_edited", "near_next", "cells_edited", "cells_next"
+    )
 
 
 def op8_fingerprints(spark, sf_dir):
-    found = versions(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    found = versions(read(spark, sf_dir, "documents"), edited_as=lambda c: F.sha2(c, 256))
+    return found.select("doc_id", "n_chars", F.col("edited").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "cells_edited", "cells_next")
