@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import fulltext, jsonx, mysql, spatial, vectors
 from palimpsest.operators import constraints, diff, history, merge, patch, stats
 from palimpsest.plans import fixtures as fx
+from palimpsest.plans import versioned
 from palimpsest.plans.graph import Commit, Graph
 from palimpsest.plans.relational import PAIRS, SAME
 from palimpsest.plans.store import matches
@@ -260,5 +261,10 @@ register("wildcard_tables", lambda spark, sf: spark.createDataFrame([(t,) for t
 register("fast_count", over("SELECT * FROM lineitem")(lambda d: d.agg(F.count(F.lit(1)).alias("n"))), "SELECT COUNT(*) AS n FROM lineitem")
 
 
+versioned.merge_queries(_merged_sql, _CONFLICT_SQL, _THREE, _CONFLICT)
+QUERIES.update(versioned.QUERIES)
+ORACLE_SQL.update(versioned.ORACLE_SQL)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return QUERIES["diff_stat"](spark, "/root/testdata/sf0.001")

@@ -398,6 +398,7 @@ class Repo:
             if start is None:
                 start = (self.table(name).agg(F.max(auto)).first()[0] or 0) + 1
             given, missing = rows.agg(F.max(auto), F.count_if(F.col(auto).isNull())).first()
+            start = max(start, (given or 0) + 1)
             rows = constraints.numbered_nulls(rows, auto, start) if missing else rows
             self.config["last_insert_id"] = start if missing else None
             self.config["auto"][name] = max(start + missing, (given or 0) + 1)
