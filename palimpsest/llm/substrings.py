@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import bounded_batches, read, stored
 
@@ -96,63 +97,63 @@ def _runs(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, start - firsts[text], size, grams[anchor].view(np.int64), match.view(np.int64)
 
 
-def _settled(keys: list[np.ndarray], ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows with equal keys: which one is first by (id, pos) and goes on, and which come after one, so are copies."""
-    order = np.lexsort([pos, ids, *keys])
+def _settled(keys: list[np.ndarray], ids: np.ndarray, subs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal keys: which one is first by (id, sub, pos) and goes on, and which come after one, so are copies."""
+    order = np.lexsort([pos, subs, ids, *keys])
     same = np.ones(max(0, len(order) - 1), bool)
     for k in keys:
         same &= k[order][1:] == k[order][:-1]
     head = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
     lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-    copy = (ids[order] != ids[lead]) | (pos[order] != pos[lead])
+    copy = (ids[order] != ids[lead]) | (subs[order] != subs[lead]) | (pos[order] != pos[lead])
     return order[head], order[copy & ~head]
 
 
-_ROWS = "settled boolean, a long, b long, doc long, pos int, n int"
+_ROWS = "settled boolean, a long, b long, doc long, sub int, pos int, n int"
 
 
-def _batch(a, b, ids, pos, n, texts_copies):
+def _batch(a, b, ids, subs, pos, n):
     """Arrow rows: those that go on, by their keys, and copies found in this batch, under keys that spread them."""
     import pyarrow as pa
 
-    go, copies = texts_copies
+    go, copies = _settled([b, a], ids, subs, pos)
     spread = (ids[copies] * 1_000_003 + pos[copies]).astype(np.int64)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate([np.zeros(len(go), bool), np.ones(len(copies), bool)])),
             pa.array(np.concatenate([a[go], spread])), pa.array(np.concatenate([b[go], np.zeros(len(copies), np.int64)])),
-            pa.array(np.concatenate([ids[go], ids[copies]])),
+            pa.array(np.concatenate([ids[go], ids[copies]])), pa.array(np.concatenate([subs[go], subs[copies]]).astype(np.int32)),
             pa.array(np.concatenate([pos[go], pos[copies]]).astype(np.int32)), pa.array(np.concatenate([n[go], n[copies]]).astype(np.int32)),
         ],
-        ["settled", "a", "b", "doc", "pos", "n"],
+        ["settled", "a", "b", "doc", "sub", "pos", "n"],
     )
 
 
-def _ids(column) -> np.ndarray:
-    return np.array([NULL_ID if i is None else i for i in column.to_pylist()], np.int64)
+def _names(batch) -> tuple[np.ndarray, np.ndarray]:
+    return (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sub"))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """One row for each selected anchor of (doc, t, ...): a its hash, b its extended match's, where and how many windows."""
+    """One row for each selected anchor of (doc, sub, t, ...): a its hash, b its extended match's, where and how many windows."""
 
     def run(batches: Iterator) -> Iterator:
         cache = WordHashes()
         for batch in batches:
             text, pos, n, a, b = _runs(*_hashed(batch.column("t").to_pylist(), cache))
-            ids = _ids(batch.column("doc"))[text]
-            yield _batch(a, b, ids, pos, n, _settled([b, a], ids, pos))
+            ids, subs = _names(batch)
+            yield _batch(a, b, ids[text], subs[text], pos, n)
 
     return docs.mapInArrow(run, _ROWS)
 
 
 def window_rows(docs: DataFrame) -> DataFrame:
-    """One row for each window of the runs in `spans` of (doc, t, spans, ...): a and b are its digest of 128 bits."""
+    """One row for each window of the runs in `spans` of (doc, sub, t, spans, ...): a and b are its digest of 128 bits."""
 
     def run(batches: Iterator) -> Iterator:
         cache = WordHashes()
         for batch in batches:
             words, firsts = _hashed(batch.column("t").to_pylist(), cache)
-            ids, starts, owner = _ids(batch.column("doc")), [], []
+            (ids, subs), starts, owner = _names(batch), [], []
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 for s in spans or ():
                     starts.append(np.arange(s["pos"], s["pos"] + s["n"]))
@@ -161,42 +162,39 @@ def window_rows(docs: DataFrame) -> DataFrame:
                 pos, owner = np.concatenate(starts), np.concatenate(owner)
                 at = pos + firsts[owner]
                 a, b = (Rolled(words, w).of(at, at + WINDOW).view(np.int64) for w in (1, 2))
-                yield _batch(a, b, ids[owner], pos, np.ones(len(pos), np.int64), _settled([b, a], ids[owner], pos))
+                yield _batch(a, b, ids[owner], subs[owner], pos, np.ones(len(pos), np.int64))
 
     return docs.mapInArrow(run, _ROWS)
 
 
 def _spans(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    return rows.groupBy("doc", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
 
-def _after_first(*keys: str):
-    first = F.min(F.struct("doc", "pos")).over(Window.partitionBy("settled", *keys))
-    return F.struct("doc", "pos") > first
+def _after_first():
+    place = F.struct("doc", "sub", "pos")
+    return place > F.min(place).over(Window.partitionBy("settled", "a", "b"))
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
-    """(doc, spans): the windows, as (pos, n) for n from word pos on, whose words also start earlier. docs: (doc, t, ...).
+    """(doc, sub, spans): the windows, as (pos, n) for n from word pos on, whose words also start earlier. docs: (doc, sub, t, ...).
 
     Two windows of equal words select the same anchor at the same place in them, so they meet on its hash. Where the extended
     matches around it are the same too, all windows of the run are, and all runs but the first are copies. Only where an
     anchor has several extended matches are the windows of each one's first run compared one by one, by digests of
     128 bits. A batch settles its own copies before the shuffle, so a passage of a third of all documents is a row for
-    each batch there. No pairs are formed.
+    each batch there; rows go by anchor and match, so a phrase of a third of all documents with other words around it each time
+    is in no one task. Which anchors have several matches is an aggregate of two numbers, combined before its shuffle, and a
+    join that Spark can split. No pairs are formed.
     """
-    rows = anchors(docs).repartition("settled", "a")
-    seen = Window.partitionBy("settled", "a")
-    met = (
-        rows.withColumn("copy", F.col("settled") | _after_first("a", "b"))
-        .withColumn("lo", F.min("b").over(seen)).withColumn("hi", F.max("b").over(seen))
-        .select("doc", "pos", "n", "copy", (~F.col("settled") & (F.col("lo") != F.col("hi"))).alias("several"))
-        .filter("copy or several")
-    )
-    met = stored(met, "repeats")
+    rows = anchors(docs).repartition("settled", "a", "b")
+    several = rows.filter("NOT settled").groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo <> hi").select("a", F.lit(True).alias("more"))
+    met = rows.withColumn("copy", F.col("settled") | _after_first()).join(several, "a", "left").select("doc", "sub", "pos", "n", "copy", (~F.col("settled") & F.col("more").isNotNull()).alias("several"))
+    met = stored(met.filter("copy or several"), "repeats")
     firsts = _spans(met.filter("several and not copy"))
-    windows = window_rows(docs.join(firsts, docs.doc.eqNullSafe(firsts.doc)).drop(firsts.doc))
-    single = windows.withColumn("copy", F.col("settled") | _after_first("a", "b")).filter("copy")
-    return _spans(met.filter("copy").select("doc", "pos", "n").union(single.select("doc", "pos", "n")))
+    windows = window_rows(docs.join(firsts, ["doc", "sub"])).repartition("settled", "a", "b")
+    single = windows.withColumn("copy", F.col("settled") | _after_first()).filter("copy")
+    return _spans(met.filter("copy").select("doc", "sub", "pos", "n").union(single.select("doc", "sub", "pos", "n")))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,16 +202,19 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     Words are runs of anything but the six ASCII spaces. A word goes if a window of WINDOW words that covers it has the same
     words as one that starts earlier: in a smaller id, or in the same text before. Windows are judged on the input. A null text
-    has no words; a null id sorts first; ids are whole numbers and name one text each (rows that repeat an id and its text are
-    that text, and get one result); an empty table stays empty. Columns of df with the added names are replaced.
+    has no words; a null id sorts first. Ids are whole numbers (another type raises ValueError). Different texts of one id are
+    texts of their own, in an order of a hash of theirs; rows that repeat an id and its text are that text, and get one result.
+    An empty table stays empty; a text of any length is read whole. Columns of df with the added names are replaced.
     Beside the anchors (about one for eight words) the texts are shuffled once, by id, for both joins.
     """
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} has to be a whole number")
     bounded_batches(df.sparkSession)
     rest = [c for c in df.columns if c not in ("n_words", "n_removed", "kept", "repeats")]
-    named = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("binary").alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest) if c != text_col])
+    named = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(F.col(text_col)).alias("sub"), F.col(text_col).cast("binary").alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest) if c != text_col])
     found = _repeats(named)
-    kept_columns = [c for c in named.columns if c not in ("doc", "t")]
-    joined = named.join(found, named.doc.eqNullSafe(found.doc), "left").select("t", "spans", *kept_columns)
+    kept_columns = [c for c in named.columns if c not in ("doc", "sub", "t")]
+    joined = named.join(found, ["doc", "sub"], "left").select("t", "spans", *kept_columns)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
