@@ -105,7 +105,10 @@ def chain_diffs(versions: Sequence[Version], keys: Sequence[str], parents: dict[
             here = {f.name: f.dataType for f in df.schema}
             one = df.select(*[(F.col(f"`{f.name}`") if here.get(f.name) == f.dataType else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields], F.lit(i).alias("_place"))
             stacked = one if stacked is None else stacked.unionByName(one)
-    if keys:
+    if len(versions) == 1:
+        none = [F.lit(None).cast(f.dataType).alias(f"from_{f.name}") for f in schema.fields]
+        found = stacked.select(F.col("_place").alias("place"), *[F.col(f"`{c}`").alias(f"to_{c}") for c in names], *none, F.lit(ADDED).alias("diff_type"))
+    elif keys:
         others, last = [c for c in names if c not in keys], len(versions) - 1
         w = Window.partitionBy(*[f"`{k}`" for k in keys]).orderBy("_place")
         row = F.struct(*[F.col(f"`{c}`") for c in names])

@@ -1138,15 +1138,16 @@ class Repo:
         line = [v for v in reversed(self._line(table, with_working))]
         return [v for i, v in enumerate(line) if (i == 0 and v[3]) or (i and line[i - 1][3] != v[3])]
 
-    def _changed_rows(self, chain: Sequence[tuple]) -> list[history.Version]:
-        """The chain's snapshots without the buckets that no version of the chain changed."""
+    def _changed_rows(self, chain: Sequence[tuple]) -> tuple[list[history.Version], DataFrame | None]:
+        """The chain's snapshots without the buckets that no version of the chain changed, and these, if there are any."""
         hashes = [v[3] for v in chain if v[3]]
         if len(hashes) > 1 and len(hashes) == len(chain) and self.store.same_shape(*hashes):
             n = min(self.store.meta(h)["buckets"] for h in hashes)
             parts = [self.store.coarse(h, n) for h in hashes]
             open_ = sorted(k for k in {k for p in parts for k in p} if len({p.get(k) for p in parts}) > 1)
-            return [(c, a, d, self.store.read(h, open_, n)) for c, a, d, h in chain]
-        return [(c, a, d, self.snapshot(h) if h else None) for c, a, d, h in chain]
+            closed = sorted({k for k in parts[0]} - {*open_})
+            return [(c, a, d, self.store.read(h, open_, n)) for c, a, d, h in chain], self.store.read(hashes[0], closed, n) if closed else None
+        return [(c, a, d, self.snapshot(h) if h else None) for c, a, d, h in chain], None
 
     def blame(self, table: str) -> DataFrame:
         """For each row of HEAD the commit that added it or changed it last: one shuffle for the whole chain."""
@@ -1165,8 +1166,11 @@ class Repo:
         h = self._set()["working"].get(table) or self.graph[self.head()].tables.get(table)
         if not h:
             raise ValueError(f"no table {table}")
-        chain = self._chain(table, with_working=True)
-        out = history.chain_diffs(self._changed_rows(chain), self.keys(h), self._parents_on(self._line(table, True)), self.store.schema(h))
+        chain, parents = self._chain(table, with_working=True), self._parents_on(self._line(table, True))
+        versions, never = self._changed_rows(chain)
+        out = history.chain_diffs(versions, self.keys(h), parents, self.store.schema(h))
+        if never is not None:  # rows that nothing changed after they came
+            out = out.unionByName(history.chain_diffs([(*versions[0][:3], never)], self.keys(h), parents, self.store.schema(h)))
         return out.filter(F.col("to_commit").isin([*to_commits])) if to_commits is not None else out
 
     def _parents_on(self, line: Sequence[tuple]) -> dict[str, tuple]:
