@@ -40,7 +40,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._palimpsest_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` gave and that no plan reads any more, and let Spark delete the shuffle files of plans that
+    are gone: it does when the JVM has collected these, which would else happen by chance."""
+    for t in tables:
+        spark, path = t.sparkSession, getattr(t, "_palimpsest_path", None)
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def digest52(*parts: Column | str) -> Column:

@@ -8,10 +8,10 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, read, stored
+from palimpsest.llm.common import bounded_batches, discard, read, stored
 from palimpsest.llm.language import remainder
 
 # The letters that a symbol is commonly written for.
@@ -21,10 +21,12 @@ LEET = {
 }
 #: Natural logarithms of the channel: a letter for a symbol, a symbol that stands for nothing, a letter said again.
 SUBSTITUTED, DROPPED, REPEATED = -1.0, -4.0, -0.7
-#: Labelled rows that the models are learned from, as expected by a hash of their text: the fit's bound.
+#: Labelled rows that the lexicon is learned from, as expected by a hash of text and id: the fit's bound.
 FIT_ROWS = 12_000
-#: Words of the language model, and entries of the lexicon: at most so many, by count and by evidence.
-MODEL_WORDS, LEXICON = 30_000, 4_000
+#: Windows of letters that make up no more than this share of all are left to the shorter contexts.
+RARE = 1e-6
+#: Entries of the lexicon: at most so many, by evidence.
+LEXICON = 4_000
 #: An entry of the lexicon is in so many labelled documents at least. It tells the classes apart by a likelihood ratio (G2) of
 #: twice the logarithm of the number of candidates, which chance alone reaches once or so, and this much more.
 LEAST_DOCS, SURPLUS = 3, 2.0
@@ -40,19 +42,27 @@ _RUN, _TWICE = re.compile(r"(.)\1\1+"), re.compile(r"(.)\1")
 _MARKS = re.compile(r"([^\w\s])\1{2,}$")
 
 
+def windows(word: str) -> list[str]:
+    """Each letter of a word and its end, with the CONTEXT letters before it."""
+    padded = "\x02" * CONTEXT + word + "\x03"
+    return [padded[i - CONTEXT : i + 1] for i in range(CONTEXT, len(padded))]
+
+
 class Letters:
     """A language model of letters in words: interpolated counts of contexts up to CONTEXT letters, words weighing by count."""
 
-    def __init__(self, words: Iterable[tuple[str, int]]):
+    def __init__(self, words: Iterable[tuple[str, int]] = (), grams: Iterable[tuple[str, int]] | None = None):
+        """From words with counts, or from counts of their grams (windows), of which those of shorter contexts follow."""
         self.counts: list[dict[str, Counter]] = [{} for _ in range(CONTEXT + 1)]
-        for word, n in words:
-            padded = "\x02" * CONTEXT + word + "\x03"
-            for i in range(CONTEXT, len(padded)):
-                for order in range(CONTEXT + 1):
-                    self.counts[order].setdefault(padded[i - order : i], Counter())[padded[i]] += n
+        for gram, n in (((g, n) for w, n in words for g in windows(w)) if grams is None else grams):
+            for order in range(CONTEXT + 1):
+                self.counts[order].setdefault(gram[CONTEXT - order : CONTEXT], Counter())[gram[CONTEXT]] += n
         self.totals = [{c: (sum(k.values()), len(k)) for c, k in by.items()} for by in self.counts]
         self.known: dict[tuple[str, str], float] = {}
 
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
+
     def log(self, context: str, letter: str) -> float:
         """Log-probability of a letter after CONTEXT letters (Witten and Bell's smoothing)."""
         if (found := self.known.get((context, letter))) is None:
@@ -189,11 +199,19 @@ class Model:
     The largest, not the sum: a long text meets more words by chance, but not heavier ones.
     """
 
-    def __init__(self, words: list[tuple[str, int]], lexicon: dict[str, float], slope: float = 1.0, offset: float = 0.0):
-        self.model_words, self.lexicon, self.slope, self.offset = words, lexicon, slope, offset
+    def __init__(self, words: list[tuple[str, int]] | Letters, lexicon: dict[str, float], slope: float = 1.0, offset: float = 0.0):
+        self.lexicon, self.slope, self.offset = lexicon, slope, offset
+        self.letters = words if isinstance(words, Letters) else Letters(words)
+        self._channel: Channel | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_channel": None}
 
     def channel(self) -> Channel:
-        return Channel(Letters(self.model_words))
+        """One for each process that has the model, so that tokens restored by one task are known to the next."""
+        if self._channel is None:
+            self._channel = Channel(self.letters)
+        return self._channel
 
     def evidence(self, channel: Channel, text: str) -> float:
         known = self.lexicon
@@ -236,33 +254,47 @@ def _platt(points: list[tuple[float, int]]) -> tuple[float, float]:
     return slope, offset
 
 
-def fit(labelled: DataFrame) -> Model:
-    """A model from the rows of (text, toxic 0 or 1); null texts and labels teach nothing.
+def letter_counts(texts: DataFrame) -> list[tuple[str, int]]:
+    """Counts of the windows of letters in all words of the column `text`, over all its rows, words weighing by how often they
+    occur. Words are counted first, combined before the shuffle. The driver gets the windows that make up more than RARE of all,
+    which are less than 1 / RARE, whatever the corpus."""
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word")).filter(F.char_length("word").between(2, 24))
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
-    About FIT_ROWS of them, taken by a hash of the text, are read whole. What comes to the driver are MODEL_WORDS words at
-    most, LEXICON entries at most, and the largest weight that each text of the sample meets.
-    """
-    known = labelled.filter(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select(F.col("text").cast("binary").alias("t"), F.col("toxic").cast("int").alias("y"))
-    n = known.count()
-    sample = known.filter(F.pmod(F.xxhash64("t", F.lit("sample")), F.lit(1 << 20)) < F.lit(int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 20))))
-
-    def plain_words(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        word = re.compile(r"[^\W\d_]+")
         for b in batches:
             counts: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                counts.update(word.findall(t.decode("utf-8", "replace").lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for g in windows(w):
+                    counts[g] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
+
+    grams = stored(_map_texts(counted, run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "toxic-letters")
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    found = sorted((r["gram"], r["n"]) for r in grams.filter(F.col("n") > total * RARE).collect())
+    discard(grams)
+    return found
 
-    counted = _map_texts(sample.select("t"), plain_words, "word string, n long").filter(F.length("word").between(2, 24)).groupBy("word").agg(F.sum("n").alias("n"))
-    words = [(r["word"], r["n"]) for r in counted.orderBy(F.desc("n"), "word").limit(MODEL_WORDS).collect()]
+
+def fit(labelled: DataFrame, corpus: DataFrame | None = None) -> Model:
+    """A model from the rows of (text, toxic 0 or 1); null texts and labels teach nothing. The letters' model is counted over all
+    texts of `corpus` (without it, of the labelled rows), of which no labels are asked.
+
+    About FIT_ROWS labelled rows, taken by a hash of the row, are read whole. What comes to the driver are the windows of
+    letter_counts, LEXICON entries at most, and the largest weight that each text of the sample meets.
+    """
+    letters = Letters(grams=letter_counts(labelled if corpus is None else corpus))
+    known = labelled.filter(F.col("text").isNotNull() & F.col("toxic").isNotNull()).select(F.col("text").cast("binary").alias("t"), F.col("toxic").cast("int").alias("y"), (F.col("row") if "row" in labelled.columns else F.xxhash64("text")).alias("row"))
+    n = known.count()
+    sample = known.filter(F.pmod(F.xxhash64("t", "row", F.lit("sample")), F.lit(1 << 20)) < F.lit(int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 20)))).select("t", "y")
+    shared = labelled.sparkSession.sparkContext.broadcast(Model(letters, {}))
 
     def restored_words(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        channel = Channel(Letters(words))
+        channel = shared.value.channel()
         for b in batches:
             docs: Counter = Counter()
             toxic: Counter = Counter()
@@ -277,7 +309,7 @@ def fit(labelled: DataFrame) -> Model:
     met = met.filter((F.col("n") >= LEAST_DOCS) | (F.col("word") == ""))
     total = met.filter("word = ''").first()
     if total is None or total["n_toxic"] in (0, total["n"]):
-        return Model(words, {}, 1.0, -40.0 if total is None or not total["n_toxic"] else 40.0)
+        return Model(letters, {}, 1.0, -40.0 if total is None or not total["n_toxic"] else 40.0)
     n, toxic = total["n"], total["n_toxic"]
 
     def term(seen, expected):
@@ -288,10 +320,25 @@ def fit(labelled: DataFrame) -> Model:
     least = 2 * math.log(max(2, met.count())) + SURPLUS
     scored = met.filter("word <> ''").withColumn("g2", 2 * sum(term(*c) for c in cells)).filter(F.col("g2") >= least).filter(kt / k > toxic / n)
     best = scored.orderBy(F.desc("g2"), "word").limit(LEXICON).collect()
-    model = Model(words, {r["word"]: math.log((r["n_toxic"] + 0.5) / (toxic + 1)) - math.log((r["n"] - r["n_toxic"] + 0.5) / (n - toxic + 1)) for r in best})
-    points = [(r["x"], r["y"]) for r in _scored(sample.withColumn("d", F.lit(0).cast("long")), model, "t", "d", ["y"]).select(F.round("x", 3).alias("x"), "y").collect()]
-    model.slope, model.offset = _platt(points)
-    return model
+    def weight(k: int, kt: int, n: int, toxic: int) -> float:
+        return math.log((kt + 0.5) / (toxic + 1)) - math.log((k - kt + 0.5) / (n - toxic + 1))
+
+    seen = {r["word"]: (r["n"], r["n_toxic"]) for r in best}
+    counted = labelled.sparkSession.sparkContext.broadcast((Model(letters, {}), seen))
+
+    def left_out(batches: Iterator) -> Iterator:
+        """Each text's evidence by the weights that the other texts give: what a text adds to its own words tells nothing."""
+        import pyarrow as pa
+
+        m, known = counted.value
+        for b in batches:
+            ys = b.column(1).to_pylist()
+            found = [[known[e] for e in m.channel().entries(t.decode("utf-8", "replace")) if e in known] for t in b.column(0).to_pylist()]
+            x = [max((weight(k - 1, kt - y, n - 1, toxic - y) for k, kt in f), default=0.0) for f, y in zip(found, ys, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), b.column(1)], ["x", "y"])
+
+    points = [(r["x"], r["y"]) for r in _map_texts(sample, left_out, "x double, y int").select(F.round("x", 3).alias("x"), "y").collect()]
+    return Model(letters, {w: weight(k, kt, n, toxic) for w, (k, kt) in seen.items()}, *_platt(points))
 
 
 def _scored(df: DataFrame, model: Model, text: str, key: str, more: list[str] = ()) -> DataFrame:
@@ -338,18 +385,27 @@ def clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(text, toxic) of the rows that may teach: crc32 of the id as text modulo 5 isn't 0. Of several labels of a row the largest counts.
+    """(text, toxic, row) of the rows that may teach: crc32 of the id as text modulo 5 isn't 0. Of several labels of a row the
+    largest counts; row is a hash of the id.
 
     The labels are broadcast, so they have to be a bounded number (sampled_labels).
     """
-    may = F.coalesce(remainder(id_col, 5) != 0, F.lit(True))
-    known = labels.filter(may & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    return docs.select(id_col, "text").join(F.broadcast(known), id_col).select("text", "toxic")
+    known = labels.filter(teaches(id_col) & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
+    return docs.select(id_col, "text").join(F.broadcast(known), id_col).select("text", "toxic", F.xxhash64(id_col).alias("row"))
+
+
+def teaches(id_col: str = "doc_id") -> Column:
+    return F.coalesce(remainder(id_col, 5) != 0, F.lit(True))
 
 
 def learned(spark, sf_dir: str) -> Model:
-    """The model that the labels of a folder's documents teach; the sampled texts are a table, read by each pass of the fit."""
-    return fit(stored(labelled(read(spark, sf_dir, "documents"), sampled_labels(read(spark, sf_dir, "labels"))), "toxic-sample"))
+    """The model that a folder's documents and labels teach; the sampled texts are a table, read by each pass of the fit. Letters
+    are counted over all documents that may teach."""
+    docs = read(spark, sf_dir, "documents")
+    sample = stored(labelled(docs, sampled_labels(read(spark, sf_dir, "labels"))), "toxic-sample")
+    model = fit(sample, docs.filter(teaches()).select("text"))
+    discard(sample)
+    return model
 
 
 def sampled_labels(labels: DataFrame, rows: int = 2 * FIT_ROWS) -> DataFrame:

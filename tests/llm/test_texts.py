@@ -137,6 +137,29 @@ def test_substrings_of_odd_tables(spark):
     df = spark.createDataFrame([(None, text), (4, text), (4, text), (None, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substrings.dedup(df).collect())[:2] == [("4", 50, 50), ("4", 50, 50)]
     assert substrings.dedup(df.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        substrings.dedup(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_substrings_of_shared_ids(spark):
+    """Different texts of one id keep what only they have; null ids are not one text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (None, c), (None, c + " end"), (3, c)], "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substrings.dedup(df).collect())
+    assert got[:4] == [("1", 60, 0), ("2", 60, 0), ("2", 60, 60), ("3", 60, 60)]
+    assert sorted(r[2] for r in got[4:]) in ([0, 60],)
+
+
+def test_substrings_of_a_hot_anchor_and_long_texts(spark):
+    """A phrase with other words around it in every document, and a text of 200,000 words."""
+    rng = random.Random(5)
+    phrase = "zero one two three four"
+    docs = [(i, " ".join(f"x{rng.randint(0, 10**9)}" for _ in range(30)) + f" {phrase} " + " ".join(f"y{rng.randint(0, 10**9)}" for _ in range(30))) for i in range(400)]
+    long = " ".join(f"l{rng.randint(0, 10**6)}" for _ in range(200_000))
+    docs += [(1000, docs[7][1] + " tail"), (1001, long), (1002, long[:50_000] + " end")]
+    want = brute_dedup(docs)
+    for r in substrings.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect():
+        assert (r.n_words, r.n_removed, r.kept) == want[r.doc_id], r.doc_id
 
 
 # --- toxicity
@@ -174,8 +197,22 @@ def test_viterbi_finds_the_best_path():
 def test_held_out_toxicity(spark):
     sf = "/root/testdata/sf0.1"  # words of the rarer languages need so many labels
     r = toxicity.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
-    row = r.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.min("score"), F.max("score")).first()
-    assert row[0] > 0.95 and 0 <= row[1] <= row[2] <= 1
+    row = r.agg(F.sum(F.col("predicted") * F.col("toxic")), F.sum("predicted"), F.sum("toxic"), F.min("score"), F.max("score")).first()
+    assert row[0] > 0.9 * row[1] and row[0] > 0.85 * row[2] and 0 <= row[3] <= row[4] <= 1  # precision, recall
+
+
+def test_letters_of_all_documents(spark):
+    """Windows of letters are counted over the whole corpus, labelled or not, and shorter contexts follow from them."""
+    df = spark.createDataFrame([("the Cat sat",), ("cat 2x a",), (None,), ("",)], "text string")
+    grams = dict(toxicity.letter_counts(df.repartition(3)))
+    words = [("the", 1), ("cat", 2), ("sat", 1)]
+    want = {}
+    for w, n in words:
+        for g in toxicity.windows(w):
+            want[g] = want.get(g, 0) + n
+    assert grams == want
+    a, b = toxicity.Letters(words), toxicity.Letters(grams=grams.items())
+    assert all(abs(a.log(c, x) - b.log(c, x)) < 1e-12 for c in ("\x02\x02\x02", "\x02\x02c", "cat", "zzz") for x in "cat\x03z")
 
 
 def test_toxicity_of_odd_tables(spark):
