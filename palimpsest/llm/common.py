@@ -36,8 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: a lost executor costs no recomputation before it."""
+    """df as a table written to the shared folder and read again: a lost executor costs no recomputation before it. Before that,
+    shuffle files of plans that are gone are let go."""
     spark = df.sparkSession
+    spark._jvm.System.gc()
     path = f"{shared_dir(spark).rstrip('/')}/palimpsest/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -47,7 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `stored` gave and that no plan reads any more, and let Spark delete the shuffle files of plans that
-    are gone: it does when the JVM has collected these, which would else happen by chance."""
+    are gone: it does when the driver's JVM has collected these, which would else happen by chance."""
     for t in tables:
         spark, path = t.sparkSession, getattr(t, "_palimpsest_path", None)
         if path:

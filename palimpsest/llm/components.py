@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stored
+from palimpsest.llm.common import discard, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -30,5 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == before or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, now = state, stored(_stars(now), "edges")
+            roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots._palimpsest_path = now._palimpsest_path
+            return roots
+        before, last, now = state, now, stored(_stars(now), "edges")
+        discard(last)

@@ -134,14 +134,15 @@ class Trees:
 
 
 def fit(labelled: DataFrame) -> Trees:
-    """Trees from a bounded sample of the rows of (lang, text); null languages and texts teach nothing.
+    """Trees from a bounded sample of the rows of (lang, text, row); null languages and texts teach nothing.
 
-    The sample takes rows by a hash of their text, at each language's own rate, so that about ROWS_PER_LANGUAGE of each
+    The sample takes rows by a hash of their text and of row (an id; without that column copies come or go together), at each
+    language's own rate, so that about ROWS_PER_LANGUAGE of each
     are read, whole. What comes to the driver are counts, at most LEAST_COUNT and the sample's size permitting.
     """
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20))
+    share = F.pmod(F.xxhash64("text", *["row"] * ("row" in labelled.columns), F.lit("sample")), F.lit(1 << 20))
     keep = F.lit(False)
     for lang, n in rows.items():
         keep = keep | ((F.col("lang") == F.lit(lang)) & (share < F.lit(int(min(1.0, ROWS_PER_LANGUAGE / n) * (1 << 20)))))
@@ -185,5 +186,5 @@ def predict(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
 def op3_language(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder("doc_id", 4) == 2
-    trees = fit(docs.filter(~F.coalesce(held_out, F.lit(False))).select("lang", "text"))
+    trees = fit(docs.filter(~F.coalesce(held_out, F.lit(False))).select("lang", "text", F.col("doc_id").alias("row")))
     return predict(docs, trees).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits")

@@ -101,7 +101,9 @@ def links(fps: DataFrame, verify_up_to: int = VERIFY_UP_TO) -> DataFrame:
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     half = F.transform(F.array(*[F.lit(m) for m in _masks(32, 1)]), lambda m: F.shiftrightunsigned("fp", 32).bitwiseXOR(m).bitwiseOR(1 << 32))
     other = F.transform(F.array(*[F.lit(m) for m in _masks(32, 1)]), lambda m: F.col("fp").bitwiseAND((1 << 32) - 1).bitwiseXOR(m))
-    met = fps.repartition(partitions, "fp").select(F.explode(F.concat(half, other)).alias("v"), "fp")
+    met = fps.repartition(partitions).select(  # dealt in turns, since one by fp would be dropped as redundant after an aggregate that left few tasks
+        F.explode(F.concat(half, other)).alias("v"), "fp"
+    )
     sizes = met.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = met.join(sizes.filter(F.col("n") <= verify_up_to), "v").groupBy("v").agg(F.collect_list("fp").alias("fps"))
     close = F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS) & _meets_here(F.col("v"), x, y)), lambda y: F.struct(y.alias("a"), x.alias("b")))))
