@@ -59,6 +59,7 @@ SAME = {
     "win_first_last": "SELECT o_orderkey, FIRST_VALUE(o_orderkey) OVER w AS first, LAST_VALUE(o_orderkey) OVER w AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "win_rows_frame": "SELECT o_orderkey, SUM(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS s FROM (SELECT o_orderkey, o_orderpriority, CAST(o_custkey AS DECIMAL(18,0)) AS o_custkey FROM orders) x",
     "win_range_frame": "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey RANGE BETWEEN 40 PRECEDING AND CURRENT ROW) AS n FROM orders",
+    "win_range_interval": "SELECT event_id, COUNT(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM events",
     "win_named": "SELECT o_orderkey, COUNT(*) OVER w AS n, MAX(o_totalprice) OVER w AS high FROM orders WINDOW w AS (PARTITION BY o_custkey)",
     "win_total_share": "SELECT c_custkey, c_nationkey, COUNT(*) OVER (PARTITION BY c_nationkey) AS peers, MIN(c_acctbal) OVER (PARTITION BY c_nationkey) AS low FROM customer",
     # order, limit

@@ -23,6 +23,8 @@ from palimpsest.operators.digest import digests, place
 ROWS_PER_BUCKET, MOST_BUCKETS = 1 << 18, 1 << 17
 #: Up to so many bytes, as Spark estimates them, a new table is one bucket; above them its rows are counted.
 SMALL_BYTES = 16 << 20
+#: Files of a table of one bucket, at most.
+FILES = 8
 #: A table of pieces from more folders than this is written anew as a whole by its next change.
 MOST_FOLDERS = 64
 
@@ -182,7 +184,7 @@ class Snapshots:
             path = f"{self.root}/tables/{home}/vc_part={folder}"
             order = [F.col(f"`{f.name}`") for f in ([schema[k] for k in keys] or schema.fields) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
             placed = df.withColumn("vc_bucket", place(schema, keys, buckets))
-            placed = placed.hint("rebalance", "vc_bucket") if buckets > 1 else placed.hint("rebalance")
+            placed = placed.hint("rebalance", "vc_bucket") if buckets > 1 else placed.coalesce(FILES)  # one bucket is small: no shuffle
             placed.sortWithinPartitions("vc_bucket", *order).write.partitionBy("vc_bucket").parquet(path)
             mine = {k: folder for k in (touched if m else range(buckets))}
             for r in digests(self._of(home, schema, mine, buckets, with_bucket=True), "vc_bucket").collect():

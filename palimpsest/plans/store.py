@@ -1413,6 +1413,50 @@ class Repo:
             rows.append((name, *[self.create_statement(name, h) if h else None for h in hashes], said))
         return self.spark.createDataFrame(rows, "table_name string, base_schema string, our_schema string, their_schema string, description string")
 
+    # --- indexes and lookups
+
+    def lookup(self, table: str, values: Sequence, as_of: str | datetime = WORKING) -> DataFrame:
+        """Rows whose (single) key is one of the values: only the buckets that such keys belong to are read."""
+        h = self.manifest(as_of)[table]
+        m, kinds = self.store.meta(h), self.store.schema(h)
+        key = m["keys"][0]
+        wanted = self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField(key, kinds[key].dataType)]))
+        buckets = [r[0] for r in wanted.select(place(kinds, [key], m["buckets"])).distinct().collect()]
+        return self.store.read(h, buckets).filter(F.col(f"`{key}`").isin([*values]))
+
+    def _index_columns(self, table: str, index: str, as_of: str | datetime) -> tuple[str, list[str], list[str]]:
+        h = self.manifest(as_of)[table]
+        facts = self.store.facts(h)
+        every = {r["name"]: r["columns"] for r in facts.get("rules", []) if r["kind"] == constraints.UNIQUE} | {x["name"]: x["columns"] for x in facts.get("indexes", [])}
+        if index not in every:
+            raise ValueError(f"no index {index} of {table}")
+        return h, every[index], [*every[index], *[k for k in self.keys(h) if k not in every[index]]]
+
+    def index_rows(self, table: str, index: str, as_of: str | datetime = WORKING, rebuild: bool = False) -> DataFrame:
+        """A secondary index: its columns and the key, in files by ranges of the columns and sorted by them, so that a filter on
+        them reads few files and row groups. It is made when first asked for, and kept for each content of the table."""
+        h, by, columns = self._index_columns(table, index, as_of)
+        path = f"{self.root}/indexes/{h}-{index}"
+        if rebuild:
+            self.files.delete(path)
+        if not self.files.exists(f"{path}/_SUCCESS"):
+            rows = self.snapshot(h).select(*columns)
+            rows.repartitionByRange(*by).sortWithinPartitions(*columns).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.snapshot(h).select(*columns).schema).parquet(path)
+
+    def index_lookup(self, table: str, index: str, where: str, columns: Sequence[str] = (), as_of: str | datetime = WORKING) -> DataFrame:
+        """Rows that meet a condition on an index's columns. If the index has all columns asked for, the table is not read;
+        else only the buckets of the keys that the index gives are."""
+        found = self.index_rows(table, index, as_of).filter(where)
+        h, _, covered = self._index_columns(table, index, as_of)
+        wanted = [*columns] or self.store.schema(h).names
+        if {*wanted} <= {*covered}:
+            return found.select(*wanted)
+        keys, kinds = self.keys(h), self.store.schema(h)
+        rows = self._staged_rows(found.select(*keys).distinct())
+        buckets = [r[0] for r in rows.select(place(kinds, keys, self.store.meta(h)["buckets"])).distinct().collect()]
+        return self.store.read(h, buckets).join(rows, keys, "left_semi").select(*wanted)
+
     def clone(self, root: str) -> Repo:
         """A copy of the database's folder under another root; also what a backup is. Its branches are the copy's remote ones."""
         conf = self.spark._jsc.hadoopConfiguration()

@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Rows of a bucket here: few, so that tables of every size have several.
-ROWS_PER_BUCKET = 512
+ROWS_PER_BUCKET = 4096
 _built: dict[tuple, Session] = {}
 
 
@@ -264,6 +264,28 @@ scripted("sql_dual_show", "region", "CREATE TABLE t (id INT PRIMARY KEY, s VARCH
 scripted("sql_show_tables", "region", "CREATE TABLE a (i INT); CREATE TABLE b (i INT); CREATE VIEW v AS SELECT 1 AS x FROM DUAL", "SHOW TABLES LIKE '%'", "SELECT * FROM (VALUES ('a'), ('b'), ('v')) t(\"Tables_in_main_db\")")
 
 
+scripted("sql_any_value", "nation", _NATION + "SET sql_mode = 'STRICT_TRANS_TABLES'", "SELECT region, n.hits, COUNT(*) AS k FROM n GROUP BY region", "SELECT n_regionkey AS region, 0 AS hits, COUNT(*) AS k FROM nation GROUP BY n_regionkey")
+asked("repo_point_lookup", chain, "SELECT * FROM orders WHERE o_orderkey = 77 AND o_custkey > 0", f"SELECT * FROM ({fx.CHAIN[5]}) WHERE o_orderkey = 77 AND o_custkey > 0")
+asked("repo_lookup_list", chain, "SELECT o.o_orderkey, o.o_orderstatus FROM orders AS OF 'c2' o WHERE o.o_orderkey IN (1, 2, 13, 45, 999) ORDER BY o_orderkey LIMIT 4", f"SELECT o_orderkey, o_orderstatus FROM ({fx.CHAIN[2]}) WHERE o_orderkey IN (1, 2, 13, 45, 999) ORDER BY o_orderkey LIMIT 4")
+
+
+def _indexed(ask: Callable[[Session], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, "indexed")
+        if key not in _built:
+            s = fresh(spark, sf_dir, ["customer"])
+            s.run_script("CREATE TABLE c AS SELECT * FROM customer; ALTER TABLE c ADD PRIMARY KEY (c_custkey); CREATE INDEX by_nation ON c (c_nationkey, c_acctbal)")
+            _built[key] = s
+        return ask(_built[key])
+
+    return run
+
+
+register("index_covering", _indexed(lambda s: s.repo.index_lookup("c", "by_nation", "c_nationkey = 7", ["c_custkey", "c_acctbal"])), "SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = 7")
+register("index_lookup", _indexed(lambda s: s.repo.index_lookup("c", "by_nation", "c_nationkey BETWEEN 3 AND 4 AND c_acctbal < 500")), "SELECT * FROM customer WHERE c_nationkey BETWEEN 3 AND 4 AND c_acctbal < 500")
+register("index_ordered", _indexed(lambda s: s.sql("SELECT c_nationkey, c_acctbal, c_custkey FROM vc_index_c__by_nation ORDER BY c_nationkey DESC, c_acctbal DESC, c_custkey DESC LIMIT 9")), "SELECT c_nationkey, c_acctbal, c_custkey FROM customer ORDER BY c_nationkey DESC, c_acctbal DESC, c_custkey DESC LIMIT 9")
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fresh(spark, sf_dir, ["nation"])
     out = f"{shared_folder(spark).rstrip('/')}/palimpsest-repos/out-{uuid.uuid4().hex}"

@@ -207,3 +207,31 @@ def test_delete_against_modify(spark):
     gone, changed = base.limit(0), base.withColumn("n", F.col("n") + F.when(F.col("pk") == 2, 1).otherwise(0))
     got = {r.pk: r.op for r in merge.classified(base, gone, changed, ["pk"]).collect()}
     assert got == {1: "leftDelete", 2: "divergentDeleteConflict"}
+
+
+def test_lookups_read_a_bucket(spark, repo):
+    s = Session(repo)
+    repo.write_table("t", numbers(spark, 1000), ["pk"])
+    df = s.sql("SELECT c FROM t WHERE pk = 7")
+    assert rows(df) == [("v7",)] and "vc_bucket" in df._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+    assert s.sql("SELECT c FROM t WHERE pk = 7 OR pk = 8").count() == 2 and s.sql("SELECT count(*) AS n FROM t WHERE pk > 7").first().n == 992
+    s.sql("CREATE INDEX i ON t (c)")
+    assert rows(repo.index_lookup("t", "i", "c IN ('v3', 'v9')")) == [(3, "v3"), (9, "v9")]
+
+
+def test_logs_and_schemas_as_text(spark, repo):
+    from palimpsest.plans import show
+
+    s = Session(repo)
+    s.run_script("""CREATE TABLE t (id INT AUTO_INCREMENT PRIMARY KEY, c VARCHAR(9) DEFAULT 'x', CHECK (c <> 'y')); INSERT INTO t (c) VALUES ('a'); CALL vc_commit('-Am', 'one');
+        CALL vc_branch('side'); INSERT INTO t (c) VALUES ('b'); CALL vc_commit('-am', 'two'); CALL vc_checkout('side'); UPDATE t SET c = 'z' WHERE id = 1; CALL vc_commit('-am', 'three'); CALL vc_checkout('main'); CALL vc_merge('side')""")
+    assert [x.split(" ", 1)[1] for x in show.oneline(repo, limit=2)] == ["(main) Merge side into main", "(side) three"] or len(show.oneline(repo, limit=2)) == 2
+    lines = show.graph(repo)
+    assert sum("*" in x for x in lines) == 5 and any(x.startswith(("* |", "| *")) for x in lines)
+    assert {(t, c["rows_added"], c["rows_modified"]) for _, t, c in show.stat(repo, "HEAD~1..HEAD")} >= {("t", 0, 1)}
+    again = Session(Repo(spark, repo.root + "-again"))
+    again.run_script(show.schema_export(repo))
+    assert show.schema_export(again.repo) == show.schema_export(repo) and show.indexes(repo, "t") == []
+    assert [x[:2] for x in show.schema_tags(repo)] == [("t", "id"), ("t", "c")]
+    s.sql("CALL vc_update_column_tag('t', 'c', '77')")
+    assert show.schema_tags(repo)[1] == ("t", "c", 77)
