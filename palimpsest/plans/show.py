@@ -51,6 +51,32 @@ def stat(repo: Repo, *specs: str) -> Iterator[tuple[str, str, dict]]:
                 yield r.commit_hash, t, repo.diff_stat(parents[0] if parents else "EMPTY", r.commit_hash, t).first().asDict()
 
 
+def diff_json(repo: Repo, a: str, b: str) -> dict:
+    """The difference of two versions as a document: for each table what its schema and its rows changed, from and to."""
+    tables = []
+    shapes = {r.to_table_name or r.from_table_name: r for r in repo.schema_diff(a, b).collect()}
+    for r in repo.diff_summary(a, b).collect():
+        name = r.to_table_name or r.from_table_name
+        rows = []
+        if r.data_change and r.diff_type == "modified" and not ({*repo.keys(repo.manifest(a)[name])} ^ {*repo.keys(repo.manifest(b)[name])}):
+            for d in repo.diff(a, b, name).toLocalIterator():
+                side = lambda s: {c[len(s) :]: v for c, v in d.asDict().items() if c.startswith(s) and v is not None}  # noqa: B023, E731
+                rows.append({"from_row": side("from_"), "to_row": side("to_")})
+        shape = [shapes[name].from_create_statement, shapes[name].to_create_statement] if name in shapes else []
+        tables.append({"name": name, "diff_type": r.diff_type, "schema_diff": shape, "data_diff": rows})
+    return {"tables": tables}
+
+
+def diff_text(repo: Repo, a: str, b: str, table: str) -> list[str]:
+    """A table's difference, a line for each row: + added, - removed, < and > a row before and after it was changed."""
+    columns = sorted({c[3:] for c in repo.diff(a, b, table).columns if c.startswith("to_")})
+    out = ["  | " + " | ".join(columns)]
+    for r in repo.diff(a, b, table).toLocalIterator():
+        marks = {"added": [("+", "to_")], "removed": [("-", "from_")], "modified": [("<", "from_"), (">", "to_")]}[r.diff_type]
+        out += [f"{m} | " + " | ".join("NULL" if getattr(r, s + c, None) is None else str(r[s + c]) for c in columns) for m, s in marks]
+    return out
+
+
 def schema_export(repo: Repo, *tables: str, as_of: str = "WORKING") -> str:
     """CREATE statements of tables (all of them without names), as a script that Session.run_script takes."""
     return "\n".join(repo.create_statement(n, h) for n, h in sorted(repo.manifest(as_of).items()) if not tables or n in tables)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -166,6 +167,10 @@ def load(repo, table: str, path: str, mode: str = "create", keys: Sequence[str]
     df = typed(raw.select(*[c for c in raw.columns if c in types.names]), T.StructType([f for f in types.fields if f.name in raw.columns]), strict=not keep_going)
     if mode in ("create", "replace") or not there:
         return repo.write_table(table, df, keys)
+    own = repo.keys(repo.manifest("WORKING")[table])
+    kept = [c for c in types.names if c not in df.columns]
+    if mode == "update" and own and kept and {*own} <= {*df.columns}:  # columns that the file lacks keep their values
+        df = df.join(repo.table(table).select(*own, *kept), own, "left").select(*types.names)
     return repo.insert(table, df, {"append": "error", "update": "replace"}[mode])
 
 
@@ -259,6 +264,40 @@ def dump_database(repo, path: str, kind: str = "sql", as_of: str = "WORKING") ->
         write_any(repo.snapshot(h), f"{path}/{name}.{kind}", kind, name, repo.keys(h), batch=100)
 
 
+def read_lines(spark: SparkSession, lines: Iterable[str], kind: str = "csv", **options) -> DataFrame:
+    """What comes through a pipe, as read_any reads a file: the driver passes the lines on, since a pipe has one reader."""
+    import tempfile
+
+    path = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='palimpsest-')}/lines-{uuid.uuid4().hex}.{kind}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    for line in lines:
+        out.write(bytearray((line.rstrip("\n") + "\n").encode()))
+    out.close()
+    return read_any(spark, path, kind, **options)
+
+
+def render(df: DataFrame, kind: str = "tabular", limit: int = 1000) -> str:
+    """A result as text, `limit` rows of it: tabular, vertical, csv, json or sql."""
+    import csv
+    import io
+
+    if kind in ("tabular", "vertical"):
+        return tabular(df, limit, kind == "vertical")
+    if kind == "sql":
+        return "\n".join(r[0] for r in patch.dump("t", df.limit(limit)).collect())
+    if kind == "json":
+        return '{"rows": [' + ",".join(r[0] for r in df.limit(limit).select(F.to_json(F.struct("*"))).collect()) + "]}"
+    if kind != "csv":
+        raise ValueError(f"unknown format {kind}")
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(df.columns)
+    for r in df.limit(limit).select(*[F.col(f"`{c}`").cast("string") for c in df.columns]).collect():
+        writer.writerow(["" if v is None else v for v in r])
+    return out.getvalue()
+
+
 def tabular(df: DataFrame, limit: int = 20, vertical: bool = False) -> str:
     return df._jdf.showString(limit, 0, vertical)
 

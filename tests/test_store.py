@@ -235,3 +235,20 @@ def test_logs_and_schemas_as_text(spark, repo):
     assert [x[:2] for x in show.schema_tags(repo)] == [("t", "id"), ("t", "c")]
     s.sql("CALL vc_update_column_tag('t', 'c', '77')")
     assert show.schema_tags(repo)[1] == ("t", "c", 77)
+
+
+def test_partial_imports_and_results_as_text(spark, repo, tmp_path):
+    from palimpsest.plans import show
+
+    path = str(tmp_path / "u.csv")
+    repo.write_table("t", spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "pk int, c string, n int"), ["pk"])
+    repo.commit("one", all=True)
+    with open(path, "w") as f:
+        f.write("pk,n\n2,20\n3,30\n")
+    files.load(repo, "t", path, mode="update")
+    assert rows(repo.table("t")) == [(1, "a", 1), (2, "b", 20), (3, None, 30)]
+    assert show.diff_text(repo, "HEAD", "WORKING", "t")[0] == "  | c | n | pk" and sorted(show.diff_text(repo, "HEAD", "WORKING", "t")[1:]) == ["+ | NULL | 30 | 3", "< | b | 2 | 2", "> | b | 20 | 2"]
+    assert show.diff_json(repo, "HEAD", "WORKING")["tables"][0]["name"] == "t"
+    assert rows(files.read_lines(spark, ["a,b", '1,"x"', "2,"])) == [("1", "x"), ("2", None)]
+    df = spark.createDataFrame([(1, "x,y"), (2, None)], "i int, s string").coalesce(1)
+    assert files.render(df, "csv") == 'i,s\n1,"x,y"\n2,\n' and files.render(df, "json") == '{"rows": [{"i":1,"s":"x,y"},{"i":2}]}' and "INSERT INTO `t`" in files.render(df, "sql")
