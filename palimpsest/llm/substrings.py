@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import bounded_batches, read, stored
+from palimpsest.llm.common import bounded_batches, discard, read, stored
 
 #: Words of a window, and of an anchor. Any window holds WIDTH anchors' places, a power of two.
 WINDOW, ANCHOR = 20, 5
 WIDTH = WINDOW - ANCHOR + 1
 #: Distinct words that a Python worker remembers the hashes of.
 REMEMBERED = 1 << 20
+#: Texts whose phrases are counted to find common ones, the share of them that makes a phrase common, and the least number. Any
+#: choice gives the same result; this one keeps tasks even.
+SAMPLED, COMMON, LEAST = 4_000, 0.005, 8
 #: A null document id sorts before all others.
 NULL_ID = -(1 << 63)
 
@@ -66,10 +69,10 @@ def _hashed(texts: list[bytes | None], cache: WordHashes) -> tuple[np.ndarray, n
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(firsts)
 
 
-def _runs(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
+def _runs(words: np.ndarray, firsts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, first window's start, number of windows, anchor's hash, extended match's hash) of each selected anchor.
 
-    A window selects the leftmost least of its anchors' hashes; neighbours that select the same place form a run. The match
+    A window selects the leftmost least of its anchors' hashes, common ones last; neighbours that select the same place form a run. The match
     of an anchor, extended to both sides as far as windows select it, is the run's words; its hash also tells where the anchor is.
     """
     empty = np.zeros(0, np.int64)
@@ -79,6 +82,9 @@ def _runs(words: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.arange(n - ANCHOR + 1)
     grams = Rolled(words, 0).of(at, at + ANCHOR)
     value, place, step = grams, at, 1
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams
+        value = (grams >> np.uint64(1)) | (late.astype(np.uint64) << np.uint64(63))
     while step < WIDTH:
         left, right = value[:-step], value[step:]
         first = left <= right
@@ -133,13 +139,15 @@ def _names(batch) -> tuple[np.ndarray, np.ndarray]:
     return (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sub"))
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def anchors(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """One row for each selected anchor of (doc, sub, t, ...): a its hash, b its extended match's, where and how many windows."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
     def run(batches: Iterator) -> Iterator:
         cache = WordHashes()
         for batch in batches:
-            text, pos, n, a, b = _runs(*_hashed(batch.column("t").to_pylist(), cache))
+            text, pos, n, a, b = _runs(*_hashed(batch.column("t").to_pylist(), cache), shared.value)
             ids, subs = _names(batch)
             yield _batch(a, b, ids[text], subs[text], pos, n)
 
@@ -171,9 +179,42 @@ def _spans(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "sub").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
 
-def _after_first():
+def _after_first(*keys: str):
     place = F.struct("doc", "sub", "pos")
-    return place > F.min(place).over(Window.partitionBy("settled", "a", "b"))
+    return place > F.min(place).over(Window.partitionBy("settled", *keys))
+
+
+def common_anchors(docs: DataFrame) -> np.ndarray:
+    """Hashes, ascending, of the ANCHOR-word phrases that COMMON or more of the texts of a sample hold.
+
+    About SAMPLED texts are read, whole; a phrase counts once for each. Phrases of so large a share are fewer than a text's mean
+    number of words over COMMON, whatever the corpus.
+    """
+    n = docs.count()
+    sample = docs.filter(F.pmod(F.xxhash64("doc", "t", F.lit("phrases")), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLED / max(1, n)) * (1 << 20))))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        cache = WordHashes()
+        for batch in batches:
+            words, firsts = _hashed(batch.column("t").to_pylist(), cache)
+            found = []
+            if len(words) >= ANCHOR:
+                at = np.arange(len(words) - ANCHOR + 1)
+                grams, text = Rolled(words, 0).of(at, at + ANCHOR), np.searchsorted(firsts, at, "right") - 1
+                inside = at + ANCHOR <= firsts[text + 1]
+                pairs = np.unique(np.stack([text[inside].astype(np.uint64), grams[inside]]), axis=1)
+                found = np.unique(pairs[1], return_counts=True)
+            texts = sum(1 for a, b in zip(firsts, firsts[1:], strict=False) if b > a)
+            gram, count = found if len(found) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([None, *gram.view(np.int64)], pa.int64()), pa.array([texts, *count], pa.int64())], ["gram", "n"])
+
+    counted = stored(sample.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "phrases")
+    texts = counted.filter("gram IS NULL").agg(F.sum("n")).first()[0] or 0
+    rows = counted.filter((F.col("n") >= max(LEAST, COMMON * texts)) & F.col("gram").isNotNull()).select("gram").collect()
+    discard(counted)
+    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
@@ -183,17 +224,22 @@ def _repeats(docs: DataFrame) -> DataFrame:
     matches around it are the same too, all windows of the run are, and all runs but the first are copies. Only where an
     anchor has several extended matches are the windows of each one's first run compared one by one, by digests of
     128 bits. A batch settles its own copies before the shuffle, so a passage of a third of all documents is a row for
-    each batch there; rows go by anchor and match, so a phrase of a third of all documents with other words around it each time
-    is in no one task. Which anchors have several matches is an aggregate of two numbers, combined before its shuffle, and a
-    join that Spark can split. No pairs are formed.
+    each batch there. Common phrases come last in the order by which windows select, so that a phrase of a third of all
+    documents with other words around it is no anchor there, and no task gets it. No pairs are formed.
     """
-    rows = anchors(docs).repartition("settled", "a", "b")
-    several = rows.filter("NOT settled").groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo <> hi").select("a", F.lit(True).alias("more"))
-    met = rows.withColumn("copy", F.col("settled") | _after_first()).join(several, "a", "left").select("doc", "sub", "pos", "n", "copy", (~F.col("settled") & F.col("more").isNotNull()).alias("several"))
-    met = stored(met.filter("copy or several"), "repeats")
+    common = common_anchors(docs)
+    rows = anchors(docs, common).repartition("settled", "a")
+    seen = Window.partitionBy("settled", "a")
+    met = (
+        rows.withColumn("copy", F.col("settled") | _after_first("a", "b"))
+        .withColumn("lo", F.min("b").over(seen)).withColumn("hi", F.max("b").over(seen))
+        .select("doc", "sub", "pos", "n", "copy", (~F.col("settled") & (F.col("lo") != F.col("hi"))).alias("several"))
+        .filter("copy or several")
+    )
+    met = stored(met, "repeats")
     firsts = _spans(met.filter("several and not copy"))
-    windows = window_rows(docs.join(firsts, ["doc", "sub"])).repartition("settled", "a", "b")
-    single = windows.withColumn("copy", F.col("settled") | _after_first()).filter("copy")
+    windows = window_rows(docs.join(firsts, ["doc", "sub"]))
+    single = windows.withColumn("copy", F.col("settled") | _after_first("a", "b")).filter("copy")
     return _spans(met.filter("copy").select("doc", "sub", "pos", "n").union(single.select("doc", "sub", "pos", "n")))
 
 
