@@ -179,12 +179,12 @@ def cover(cells: Sequence[Cell], cuts: dict[str, list[float]]) -> list[Rule]:
 
 
 def fit(labelled: DataFrame) -> list[Rule]:
-    """A decision list from the rows of (text, quality 0 or 1); null texts and labels teach nothing.
+    """A decision list from the rows of (text, quality 0 or 1, row); null texts and labels teach nothing.
 
-    About FIT_ROWS of them, taken by a hash of the text, are measured, whole. The driver gets CUTS quantiles of each measure,
+    About FIT_ROWS of them, taken by a hash of the text and of row (an id), are measured, whole. The driver gets CUTS quantiles of each measure,
     then counts of the cells between them: at most one for each row of the sample. A list may be empty and then keeps all.
     """
-    known = labelled.filter(F.col("text").isNotNull() & F.col("quality").isNotNull()).select("text", F.col("quality").cast("int").alias("quality"), F.xxhash64("text", F.lit("sample")).alias("h"))
+    known = labelled.filter(F.col("text").isNotNull() & F.col("quality").isNotNull()).select("text", F.col("quality").cast("int").alias("quality"), F.xxhash64("text", *["row"] * ("row" in labelled.columns), F.lit("sample")).alias("h"))
     n = known.count()
     sample = known.filter(F.pmod("h", F.lit(1 << 20)) < F.lit(int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 20))))
     measured = statistics(sample, "h", more=["quality"]).filter("NOT base_failed").select("quality", F.pmod("doc_id", F.lit(3)).alias("part"), *[F.expr(e).alias(m) for m, e in MEASURES.items()])
@@ -206,12 +206,12 @@ def judge(df: DataFrame, rules: Sequence[Rule], id_col: str = "doc_id", text_col
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = 2 * FIT_ROWS) -> DataFrame:
-    """(text, quality) of labelled rows, about `rows` of them by a hash of their id, so that no more texts are gathered.
+    """(text, quality, row) of labelled rows, about `rows` of them by a hash of their id, so that no more texts are gathered.
     Of several labels of a row the smallest counts. That number bounds what is broadcast."""
     n = labels.count()
     some = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(1 << 20)) < F.lit(int(min(1.0, rows / max(1, n)) * (1 << 20))))
     known = some.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "quality", F.col("doc_id").alias("row"))
 
 
 def op5_quality(spark, sf_dir):
