@@ -54,8 +54,8 @@ def poisson_cdf(mean: Column) -> Column:
 def mix(df: DataFrame, target: dict[str, float] | None = None, exponent: float = 0.5, budget: float = 1.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED) -> DataFrame:
     """df's rows, each as often as a hash-seeded Poisson draw with its source's rate says, in one global random order.
 
-    Adds mix_copy (1, 2, ...) and mix_key, the number by which the result is sorted over all partitions. The draw
-    depends on id, source and seed only, so rows that repeat are drawn alike and a lost task draws the same again.
+    Adds mix_copy (1, 2, ...) and mix_key, the number by which the result is sorted over all partitions. Keys are uniform, so
+    that partitions' bounds are known beforehand and no rows are sampled for them. The draw depends on id, source and seed only, so rows that repeat are drawn alike and a lost task draws the same again.
     Rows of a source of rate 0 go; an empty table stays empty; columns of df that have the added names are replaced.
     """
     df = df.drop("mix_copy", "mix_key", "mix_source", "mix_cdf", "mix_parts")
@@ -71,7 +71,10 @@ def mix(df: DataFrame, target: dict[str, float] | None = None, exponent: float =
     drawn = df.withColumn("mix_source", _source_key(source_col)).join(table, "mix_source")
     copies = drawn.withColumn("mix_copies", draw).filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     keyed = copies.withColumn("mix_key", digest52(F.lit(seed), F.col(id_col), F.col("mix_copy"), F.lit("order")))
-    return keyed.drop("mix_source", "mix_parts", "mix_cdf", "mix_copies").orderBy("mix_key", id_col, "mix_copy")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("mix_key") / F.lit(float(1 << 52)) * n).cast("int")
+    placed = keyed.drop("mix_source", "mix_parts", "mix_cdf", "mix_copies").repartitionById(n, F.least(part, F.lit(n - 1)))
+    return placed.sortWithinPartitions("mix_key", id_col, "mix_copy")
 
 
 def op7_mixing(spark, sf_dir):

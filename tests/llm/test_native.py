@@ -101,6 +101,8 @@ def test_mixing_rates(spark):
     many = mixing.mix(df, target={"rare": 1.0}, budget=100.0).filter("source = 'rare'").count()
     assert abs(many - 300_000) < 6_000
     assert mixing.mix(df.limit(0)).collect() == []
+    keys = [r.mix_key for r in mixing.mix(df).collect()]
+    assert keys == sorted(keys)  # one order over all partitions
 
 
 def brute_digest_sets(text):
