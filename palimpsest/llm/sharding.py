@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import digest52, read, unit
+from palimpsest.llm.quality import _let
 
 SEED = "shard"
 #: Ranges of a key's digest that a shard is cut into for numbering its rows; no task numbers a whole shard.
@@ -27,9 +28,13 @@ def rendezvous(key: Column, weights: Sequence[float], seed: str = SEED) -> Colum
     """
     if not weights or min(weights) <= 0:
         raise ValueError("every shard needs a positive weight")
+    return F.array_min(times(key, weights, seed))["i"]
+
+
+def times(key: Column, weights: Sequence[float], seed: str = SEED) -> Column:
+    """Each shard's time for the key, with the shard's number."""
     lanes = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w")) for i, w in enumerate(weights)])
-    times = F.transform(lanes, lambda s: F.struct(race(key, s["i"], s["w"], seed).alias("t"), s["i"].alias("i")))
-    return F.array_min(times)["i"]
+    return F.transform(lanes, lambda s: F.struct(race(key, s["i"], s["w"], seed).alias("t"), s["i"].alias("i")))
 
 
 def shard(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] | None = None, overhead: int = 16) -> DataFrame:
@@ -41,18 +46,18 @@ def shard(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str =
     n_shards * RANGES counts, which bounds what is broadcast), then numbered within their range.
     """
     weights = list(weights or [1.0] * n_shards)
-    if len(weights) != n_shards:
-        raise ValueError("one weight for each shard")
+    if len(weights) != n_shards or min(weights) <= 0:
+        raise ValueError("one positive weight for each shard")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)
+    both = _let(times(key, [*weights, sum(weights) / n_shards]), lambda t: F.struct(F.array_min(F.slice(t, 1, n_shards))["i"].alias("shard"), F.array_min(t)["i"].alias("grown_shard")))
     placed = df.select(
         key.alias("doc_id"),
         (F.octet_length(text).cast("long") + F.lit(overhead)).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        rendezvous(key, weights).alias("shard"),
-        rendezvous(key, [*weights, sum(weights) / n_shards]).alias("grown_shard"),
+        both.alias("both"),
         digest52(F.lit(SEED), key).alias("at"),
-    ).withColumn("part", F.shiftright("at", 44).cast("int"))
+    ).select("doc_id", "size", "text_crc32", "both.shard", "both.grown_shard", "at", F.shiftright("at", 44).cast("int").alias("part"))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("before"))
