@@ -268,7 +268,10 @@ def read_lines(spark: SparkSession, lines: Iterable[str], kind: str = "csv", **o
     """What comes through a pipe, as read_any reads a file: the driver passes the lines on, since a pipe has one reader."""
     import tempfile
 
-    path = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='palimpsest-')}/lines-{uuid.uuid4().hex}.{kind}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{shared or tempfile.mkdtemp(prefix='palimpsest-')}/lines-{uuid.uuid4().hex}.{kind}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
     for line in lines:
