@@ -61,3 +61,17 @@ def test_edges(spark):
     nothing = language.fit(df.select("lang", "text").limit(0))
     assert {r.lang_pred for r in language.predict(df, nothing).collect()} == {"und"}
     assert language.predict(df.limit(0), trees).collect() == []
+
+
+def test_a_sample_takes_copies_one_by_one(spark, monkeypatch):
+    """5,000 copies among 5,100 rows: about ROWS_PER_LANGUAGE rows are read, not all copies or none."""
+    seen = {}
+
+    def counted(sample):
+        seen["rows"] = sample.count()
+        return spark.createDataFrame([], "lang string, ord int, gram long, n long")
+
+    monkeypatch.setattr(language, "gram_counts", counted)
+    df = spark.range(5100).selectExpr("'en' AS lang", "IF(id < 5000, 'one text', concat('text ', id)) AS text", "id AS row")
+    language.fit(df)
+    assert abs(seen["rows"] - language.ROWS_PER_LANGUAGE) < language.ROWS_PER_LANGUAGE // 10
