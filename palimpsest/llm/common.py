@@ -59,6 +59,12 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join by sorted shuffles. Spark guesses a plan's size by its files, without the rows that an explode adds
+    or that compression hides, and by that guess sends whole tables through the driver."""
+    return df.hint("merge")
+
+
 def digest52(*parts: Column | str) -> Column:
     """A number from 0 to 2^52 - 1 from the parts' text joined by ':', the same in every SQL engine that has md5."""
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) if isinstance(p, Column) else F.lit(p) for p in parts])

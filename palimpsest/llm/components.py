@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import discard, stored
+from palimpsest.llm.common import discard, shuffled, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step. Edges are (a, b), a > b."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    large = both.join(shuffled(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+    small = large.join(shuffled(low), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
     return small.filter("a > b").distinct()
 
 

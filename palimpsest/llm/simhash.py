@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, read, stored
+from palimpsest.llm.common import bounded_batches, read, shuffled, stored
 from palimpsest.llm.components import components
 
 SHINGLE, SEED = 4, 42
@@ -105,10 +105,10 @@ def links(fps: DataFrame, verify_up_to: int = VERIFY_UP_TO) -> DataFrame:
         F.explode(F.concat(half, other)).alias("v"), "fp"
     )
     sizes = met.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = met.join(sizes.filter(F.col("n") <= verify_up_to), "v").groupBy("v").agg(F.collect_list("fp").alias("fps"))
+    buckets = met.join(shuffled(sizes.filter(F.col("n") <= verify_up_to)), "v").groupBy("v").agg(F.collect_list("fp").alias("fps"))
     close = F.flatten(F.transform("fps", lambda x: F.transform(F.filter("fps", lambda y: (y > x) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS) & _meets_here(F.col("v"), x, y)), lambda y: F.struct(y.alias("a"), x.alias("b")))))
     verified = buckets.select(F.explode(close).alias("e")).select("e.a", "e.b")
-    dense = met.join(sizes.filter(F.col("n") > verify_up_to), "v", "left_semi").select("fp").distinct()
+    dense = met.join(shuffled(sizes.filter(F.col("n") > verify_up_to)), "v", "left_semi").select("fp").distinct()
     return verified.union(ball_links(dense)).distinct()
 
 
@@ -121,9 +121,9 @@ def classes(prints: DataFrame, verify_up_to: int = VERIFY_UP_TO) -> DataFrame:
     prints = stored(prints, "prints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(least.select("fp"), verify_up_to))
-    placed = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = least.join(shuffled(roots), least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(firsts, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(shuffled(placed.join(shuffled(firsts), "root").select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark, sf_dir):

@@ -3,7 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import simhash
+from palimpsest.llm import components, simhash
 
 
 def brute_print(text):
@@ -71,3 +71,13 @@ def test_repeated_null_and_no_rows(spark):
     df = spark.createDataFrame([(3, 7), (3, 7), (None, 7), (5, 8), (None, -1)], "doc_id long, fp long")
     assert sorted(map(str, simhash.classes(df).collect())) == sorted(map(str, df.select("doc_id", "fp", F.when(F.col("fp") > 0, 3).alias("component_id")).collect()))
     assert simhash.classes(df.limit(0)).collect() == []
+
+
+def test_no_table_goes_through_the_driver(spark, tmp_path):
+    """Few fingerprints have many variants, which Spark's guess of sizes doesn't see."""
+    spark.range(50).selectExpr("id AS doc_id", "xxhash64(id div 5) ^ shiftleft(1L, cast(id % 5 AS int) * 9) AS fp").write.parquet(f"{tmp_path}/p")
+    prints = spark.read.parquet(f"{tmp_path}/p")
+    links = simhash.links(prints.select("fp"))
+    for df in (links, simhash.classes(prints), components._stars(links)):
+        for plan in (df._jdf.queryExecution().executedPlan().toString(), (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]):
+            assert "Join" in plan and "Broadcast" not in plan
