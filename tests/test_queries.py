@@ -57,3 +57,9 @@ def test_plans_push_filters_and_prune_columns(spark):
     assert "o_orderdate" not in text("scan_filter").split("ReadSchema")[1]
     assert text("merge_classify").count("Exchange hashpartitioning") == 2  # by key, then by outcome: no join
     assert "SortMergeJoin" not in text("blame")
+
+
+def test_altered_columns_come_once_in_order_and_can_be_written(spark, con, tmp_path):
+    df = QUERIES["sql_alter"](spark, SF)
+    assert df.columns == con.sql(ORACLE_SQL["sql_alter"]).columns
+    df.withColumn("b", df.b.cast("string")).write.parquet(f"{tmp_path}/out")
