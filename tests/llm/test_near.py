@@ -5,6 +5,7 @@ import random
 import duckdb
 
 import corpus_pipeline
+from palimpsest.llm import near
 
 
 def shingles(text):
@@ -78,6 +79,22 @@ def test_ids_neither_join_nor_lose_rows(spark):
         assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_no_table_goes_through_the_driver(spark, tmp_path, monkeypatch):
+    """Plans of small tables have no broadcast but that of the nodes asked for, and of frequent shingles FREQUENT are known at most."""
+    spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(f"a b c d e f{i % 3} g h i j k{i}" for i in range(40))], "node long, t binary").write.parquet(f"{tmp_path}/t")
+    texts = spark.read.parquet(f"{tmp_path}/t")
+    prints = near.marked(texts)
+    roots = spark.createDataFrame([(1, 0)], "node long, root long")
+    for df in (near.fitting(near.ball_pairs(prints), prints), near.shared_tokens(prints, roots)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    tokens, counts = near._frequent(texts)
+    assert sorted(counts.tolist(), reverse=True) == [40, *[n for n in (14, 13, 13) for _ in range(5)]] and (tokens[1:] > tokens[:-1]).all()
+    for most, left in ((16, 16), (15, 6), (5, 1), (0, 0)):
+        monkeypatch.setattr(near, "FREQUENT", most)
+        assert len(near._frequent(texts)[0]) == left
+
+
 def test_run_equals_a_plain_version_at_080(spark):
     """run() as a whole, the near copies from 0.8 on by comparing every two texts that share a shingle."""
     from palimpsest.llm import mixing, toxicity
