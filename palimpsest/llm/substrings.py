@@ -14,11 +14,10 @@ from palimpsest.llm.common import bounded_batches, discard, read, stored
 #: Words of a window, and of an anchor. Any window holds WIDTH anchors' places, a power of two.
 WINDOW, ANCHOR = 20, 5
 WIDTH = WINDOW - ANCHOR + 1
-#: Distinct words that a Python worker remembers the hashes of.
-REMEMBERED = 1 << 20
-#: Texts whose phrases are counted to find common ones, the share of them that makes a phrase common, and the least number. Any
-#: choice gives the same result; this one keeps tasks even.
-SAMPLED, COMMON, LEAST = 4_000, 0.005, 8
+#: Distinct words that a Python worker remembers the hashes of, and words that it takes at a time (more if one text has more).
+REMEMBERED, AT_ONCE = 1 << 18, 1 << 18
+#: The share of all words that starts a common phrase, and the least number. Any choice gives the same result; this one keeps tasks even.
+COMMON, LEAST = 1e-5, 8
 #: A null document id sorts before all others.
 NULL_ID = -(1 << 63)
 
@@ -69,6 +68,16 @@ def _hashed(texts: list[bytes | None], cache: WordHashes) -> tuple[np.ndarray, n
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(firsts)
 
 
+def _parts(texts: list[bytes | None], cache: WordHashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts in turn, so many that they have about AT_ONCE words: which one is the first, the words and where each text's begin."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= 8 * AT_ONCE or i + 1 == len(texts):
+            yield at, *_hashed(texts[at : i + 1], cache)
+            at, size = i + 1, 0
+
+
 def _runs(words: np.ndarray, firsts: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, first window's start, number of windows, anchor's hash, extended match's hash) of each selected anchor.
 
@@ -147,7 +156,13 @@ def anchors(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         cache = WordHashes()
         for batch in batches:
-            text, pos, n, a, b = _runs(*_hashed(batch.column("t").to_pylist(), cache), shared.value)
+            parts = []
+            for at, words, firsts in _parts(batch.column("t").to_pylist(), cache):
+                text, *found = _runs(words, firsts, shared.value)
+                parts.append((text + at, *found))
+            if not parts:
+                continue
+            text, pos, n, a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
             ids, subs = _names(batch)
             yield _batch(a, b, ids[text], subs[text], pos, n)
 
@@ -185,36 +200,35 @@ def _after_first(*keys: str):
 
 
 def common_anchors(docs: DataFrame) -> np.ndarray:
-    """Hashes, ascending, of the ANCHOR-word phrases that COMMON or more of the texts of a sample hold.
+    """Hashes, ascending, of ANCHOR-word phrases: all that have COMMON or more of all words' places (LEAST places at least), and none
+    that has less than half as many.
 
-    About SAMPLED texts are read, whole; a phrase counts once for each. Phrases of so large a share are fewer than a text's mean
-    number of words over COMMON, whatever the corpus.
+    Every text is read. Each batch gives the counts of the phrases that have half of COMMON of its own places. What it leaves out
+    of a phrase is less than that share of its words, so the sum of what is given is over half of a common phrase's count, and
+    never more than the count. So a batch gives 2 / COMMON phrases at most, and so many are kept at most, whatever the corpus.
     """
-    n = docs.count()
-    sample = docs.filter(F.pmod(F.xxhash64("doc", "t", F.lit("phrases")), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLED / max(1, n)) * (1 << 20))))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         cache = WordHashes()
         for batch in batches:
-            words, firsts = _hashed(batch.column("t").to_pylist(), cache)
-            found = []
-            if len(words) >= ANCHOR:
-                at = np.arange(len(words) - ANCHOR + 1)
-                grams, text = Rolled(words, 0).of(at, at + ANCHOR), np.searchsorted(firsts, at, "right") - 1
-                inside = at + ANCHOR <= firsts[text + 1]
-                pairs = np.unique(np.stack([text[inside].astype(np.uint64), grams[inside]]), axis=1)
-                found = np.unique(pairs[1], return_counts=True)
-            texts = sum(1 for a, b in zip(firsts, firsts[1:], strict=False) if b > a)
-            gram, count = found if len(found) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([None, *gram.view(np.int64)], pa.int64()), pa.array([texts, *count], pa.int64())], ["gram", "n"])
-
-    counted = stored(sample.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "phrases")
-    texts = counted.filter("gram IS NULL").agg(F.sum("n")).first()[0] or 0
-    rows = counted.filter((F.col("n") >= max(LEAST, COMMON * texts)) & F.col("gram").isNotNull()).select("gram").collect()
+            parts, size = [np.zeros(0, np.uint64)], 0
+            for _, words, firsts in _parts(batch.column("t").to_pylist(), cache):
+                size += len(words)
+                if len(words) >= ANCHOR:
+                    at = np.arange(len(words) - ANCHOR + 1)
+                    at = at[at + ANCHOR <= firsts[np.searchsorted(firsts, at, "right")]]
+                    parts.append(Rolled(words, 0).of(at, at + ANCHOR))
+            gram, count = np.unique(np.concatenate(parts), return_counts=True)
+            keep = 2 * count >= COMMON * size
+            yield pa.RecordBatch.from_arrays([pa.array([None, *gram[keep].view(np.int64)], pa.int64()), pa.array([size, *count[keep]], pa.int64())], ["gram", "n"])
+
+    counted = stored(docs.select("t").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "phrases")
+    size = counted.filter("gram IS NULL").agg(F.sum("n")).first()[0] or 0
+    rows = counted.filter((2 * F.col("n") >= max(LEAST, COMMON * size)) & F.col("gram").isNotNull()).select("gram").toArrow()
     discard(counted)
-    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
+    return np.sort(rows.column("gram").to_numpy().view(np.uint64))
 
 
 def _repeats(docs: DataFrame) -> DataFrame:

@@ -168,6 +168,27 @@ def test_substrings_of_a_hot_anchor_and_long_texts(spark):
     assert most(common) < 100 <= most(common[:0]) or most(common) < 100
 
 
+def test_common_phrases_are_counted_over_all_texts(spark):
+    """A phrase of 200 texts in 9,000, none of which a sample of 4,000 by this hash has."""
+    made = spark.range(9_000).selectExpr("id AS doc", "0 AS sub", "CAST(concat('one two three four five w', id) AS BINARY) AS t")
+    hidden = made.filter(F.pmod(F.xxhash64("doc", "t", F.lit("phrases")), F.lit(1 << 20)) >= int(4_000 / 9_000 * (1 << 20))).orderBy("doc").limit(200)
+    rest = spark.range(9_000, 17_800).selectExpr("id AS doc", "0 AS sub", "CAST(concat_ws(' w', transform(sequence(0, 11), i -> id * 12 + i)) AS BINARY) AS t")
+    for n in (1, 7):
+        common = substrings.common_anchors(hidden.union(rest).repartition(n))
+        words, firsts = substrings._hashed([b"one two three four five"], substrings.WordHashes())
+        assert common.tolist() == substrings.Rolled(words, 0).of(np.array([0]), np.array([5])).tolist()
+
+
+def test_texts_of_a_batch_are_taken_in_parts(spark, monkeypatch):
+    docs = shared_passages(3)
+    monkeypatch.setattr(substrings, "AT_ONCE", 40)
+    texts = [None, *[(t or "").encode() for _, t in docs]]
+    parts = list(substrings._parts(texts, substrings.WordHashes()))
+    assert len(parts) > 20 and [at for at, _, _ in parts[1:]] == np.cumsum([len(f) - 1 for _, _, f in parts])[:-1].tolist()
+    assert np.concatenate([w for _, w, _ in parts]).tolist() == substrings._hashed(texts, substrings.WordHashes())[0].tolist()
+    test_substrings(spark, 3)
+
+
 # --- toxicity
 
 
