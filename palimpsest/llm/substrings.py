@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import bounded_batches, discard, read, stored
+from palimpsest.llm.common import bounded_batches, read, stored
 
 #: Words of a window, and of an anchor. Any window holds WIDTH anchors' places, a power of two.
 WINDOW, ANCHOR = 20, 5
@@ -18,6 +18,8 @@ WIDTH = WINDOW - ANCHOR + 1
 REMEMBERED, AT_ONCE = 1 << 18, 1 << 18
 #: The share of all words that starts a common phrase, and the least number. Any choice gives the same result; this one keeps tasks even.
 COMMON, LEAST = 1e-5, 8
+#: Cells that phrases are counted in before they are by themselves, and how many of them are a row.
+CELLS, CELLS_A_ROW = 1 << 20, 1 << 16
 #: A null document id sorts before all others.
 NULL_ID = -(1 << 63)
 
@@ -199,35 +201,69 @@ def _after_first(*keys: str):
     return place > F.min(place).over(Window.partitionBy("settled", *keys))
 
 
-def common_anchors(docs: DataFrame) -> np.ndarray:
-    """Hashes, ascending, of ANCHOR-word phrases: all that have COMMON or more of all words' places (LEAST places at least), and none
-    that has less than half as many.
+def _phrases(batches: Iterator) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of words and the hashes of ANCHOR-word phrases, for about AT_ONCE words at a time."""
+    cache = WordHashes()
+    for batch in batches:
+        for _, words, firsts in _parts(batch.column("t").to_pylist(), cache):
+            at = np.arange(max(0, len(words) - ANCHOR + 1))
+            at = at[at + ANCHOR <= firsts[np.searchsorted(firsts, at, "right")]]
+            yield len(words), Rolled(words, 0).of(at, at + ANCHOR)
 
-    Every text is read. Each batch gives the counts of the phrases that have half of COMMON of its own places. What it leaves out
-    of a phrase is less than that share of its words, so the sum of what is given is over half of a common phrase's count, and
-    never more than the count. So a batch gives 2 / COMMON phrases at most, and so many are kept at most, whatever the corpus.
-    """
+
+def _cells(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of words of all texts, and how many phrases' places fall into each of CELLS cells. A task gives as many rows
+    whatever it reads."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cache = WordHashes()
-        for batch in batches:
-            parts, size = [np.zeros(0, np.uint64)], 0
-            for _, words, firsts in _parts(batch.column("t").to_pylist(), cache):
-                size += len(words)
-                if len(words) >= ANCHOR:
-                    at = np.arange(len(words) - ANCHOR + 1)
-                    at = at[at + ANCHOR <= firsts[np.searchsorted(firsts, at, "right")]]
-                    parts.append(Rolled(words, 0).of(at, at + ANCHOR))
-            gram, count = np.unique(np.concatenate(parts), return_counts=True)
-            keep = 2 * count >= COMMON * size
-            yield pa.RecordBatch.from_arrays([pa.array([None, *gram[keep].view(np.int64)], pa.int64()), pa.array([size, *count[keep]], pa.int64())], ["gram", "n"])
-
-    counted = stored(docs.select("t").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "phrases")
-    size = counted.filter("gram IS NULL").agg(F.sum("n")).first()[0] or 0
-    rows = counted.filter((2 * F.col("n") >= max(LEAST, COMMON * size)) & F.col("gram").isNotNull()).select("gram").toArrow()
-    discard(counted)
+        size, cells = 0, np.zeros(CELLS, np.int64)
+        for n, grams in _phrases(batches):
+            size += n
+            cells += np.bincount((grams % np.uint64(CELLS)).view(np.int64), minlength=CELLS)
+        if size:
+            parts = [np.array([size]), *cells.reshape(-1, CELLS_A_ROW)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype(np.int64).tobytes() for p in parts], pa.binary())], ["part", "cells"])
+
+    def added(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        sums: dict = {}
+        for b in batches:
+            for part, cells in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(cells, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["part", "cells"])
+
+    rows = docs.select("t").mapInArrow(run, "part int, cells binary").repartition(CELLS // CELLS_A_ROW, "part").mapInArrow(added, "part int, cells binary")
+    sums = [np.frombuffer(r.cells, np.int64) for r in sorted(rows.collect(), key=lambda r: r.part)]
+    return (int(sums[0][0]), np.concatenate(sums[1:])) if sums else (0, np.zeros(CELLS, np.int64))
+
+
+def _counted(docs: DataFrame, few: np.ndarray) -> DataFrame:
+    """(gram, n): how often phrases of cells that aren't among the `few` are met, a row for each in about AT_ONCE words."""
+    shared = docs.sparkSession.sparkContext.broadcast(~few)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for _, grams in _phrases(batches):
+            gram, count = np.unique(grams[shared.value[(grams % np.uint64(CELLS)).view(np.int64)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64), pa.int64()), pa.array(count, pa.int64())], ["gram", "n"])
+
+    return docs.select("t").mapInArrow(run, "gram long, n long")
+
+
+def common_anchors(docs: DataFrame) -> np.ndarray:
+    """Hashes, ascending, of ANCHOR-word phrases: all that have half of COMMON of all words' places (half of LEAST places at least).
+
+    Every text is read, twice. First places are counted in cells by the phrases' hashes, in as many rows a task whatever it reads.
+    Then the phrases of cells with enough places, in which all common ones are, are counted by themselves; at most 2 / COMMON
+    phrases are kept, whatever the corpus.
+    """
+    size, cells = _cells(docs)
+    least = max(LEAST, COMMON * size)
+    rows = _counted(docs, 2 * cells < least).groupBy("gram").agg(F.sum("n").alias("n")).filter(2 * F.col("n") >= least).select("gram").toArrow()
     return np.sort(rows.column("gram").to_numpy().view(np.uint64))
 
 

@@ -179,6 +179,15 @@ def test_common_phrases_are_counted_over_all_texts(spark):
         assert common.tolist() == substrings.Rolled(words, 0).of(np.array([0]), np.array([5])).tolist()
 
 
+def test_phrases_that_are_not_common_make_no_rows(spark):
+    """Of 40,000 phrases in 40 small partitions, which a batch can't tell from common ones, only the two common ones are counted."""
+    made = spark.range(4_000).selectExpr("id AS doc", "0 AS sub", "CAST(concat_ws(' w', transform(sequence(0, 9), i -> id * 10 + i), if(id % 100 = 0, ' one two three four five', '')) AS BINARY) AS t").repartition(40)
+    size, cells = substrings._cells(made)
+    assert (size, cells.sum()) == (40_200 + 4_000, 40_200 + 4_000 - 4 * 4_000)
+    assert substrings._counted(made, 2 * cells < substrings.LEAST).count() <= 100
+    assert len(substrings.common_anchors(made)) == 2
+
+
 def test_texts_of_a_batch_are_taken_in_parts(spark, monkeypatch):
     docs = shared_passages(3)
     monkeypatch.setattr(substrings, "AT_ONCE", 40)
