@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,32 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.filter("a > b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _settled(batches: Iterator) -> Iterator:
+    """The result from all edges in one task."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    rows = [(x, r) for x in list(root) if (r := find(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["node", "root"])
+
+
+def components(edges: DataFrame, few: int = 0) -> DataFrame:
     """(node, root) of every node with an edge that isn't its component's least id. Edges: (a, b) in any order.
 
     Alternating large and small stars (Kiveris et al., 2014) need a number of rounds that grows with the logarithm of the
     component, not with its diameter. Each round's edges are a table in the shared folder; a node with many edges is met
-    by sums that combine before the shuffle and by joins that Spark can split. An empty table gives no rows.
+    by sums that combine before the shuffle and by joins that Spark can split. An empty table gives no rows. From `few` edges on down
+    one task settles what is left, as many rounds over next to no rows would.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     before = None
@@ -33,5 +55,9 @@ def components(edges: DataFrame) -> DataFrame:
             roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
             roots._palimpsest_path = now._palimpsest_path
             return roots
+        if state[0] <= few:
+            roots = stored(now.coalesce(1).mapInArrow(_settled, "node long, root long"), "roots")
+            discard(now)
+            return roots
         before, last, now = state, now, stored(_stars(now), "edges")
         discard(last)
