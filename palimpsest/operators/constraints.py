@@ -117,17 +117,17 @@ def numbered_nulls(df: DataFrame, column: str, start: int) -> DataFrame:
 
 
 def auto_increment(df: DataFrame, column: str, start: int, order: Sequence[str]) -> DataFrame:
-    """df with nulls of the column numbered from `start` on, by `order` among them: ranks of a hash range, then offsets.
+    """df with nulls of the column numbered from `start` on, by `order` among them: ranks within ranges, then offsets.
 
-    Only sizes of the ranges reach the driver; no task sees all rows.
+    Only bounds and sizes of the ranges reach the driver; no task sees all rows.
     """
+    from palimpsest.operators.diff import offsets, ranged
+
     new = df.filter(F.col(column).isNull())
-    ranges = new.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
+    ranges = ranged(new, order)
     sizes = {r["_p"]: r["n"] for r in ranges.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return df
-    from palimpsest.operators.diff import offsets
-
     w = Window.partitionBy("_p").orderBy(*order)
     placed = ranges.withColumn("_r", F.row_number().over(w)).join(offsets(df.sparkSession, sorted(sizes.items()), start), "_p")
     given = placed.withColumn(column, (F.col("_before") + F.col("_r") - 1).cast(df.schema[column].dataType)).select(*df.columns)

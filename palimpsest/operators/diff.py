@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ADDED, MODIFIED, REMOVED = "added", "modified", "removed"
+#: Rows of the sample for each range whose bounds it gives.
+SAMPLED = 20
 
 
 def differs(a: Column, b: Column) -> Column:
@@ -187,6 +189,27 @@ def offsets(spark, sizes: Sequence[tuple[int, int]], start: int = 0) -> DataFram
     return F.broadcast(spark.createDataFrame(rows, "_p long, _before long"))
 
 
+def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with _p, the number of the range of `order` that a row lies in; ranges ascend, and null comes first.
+
+    The bounds are rows of a sample that is drawn once, so that each run of a plan deals rows alike. `repartitionByRange` draws
+    its sample anew each time, and sizes counted in one run don't fit the ranges of another.
+    """
+    import pyarrow as pa
+
+    spark, names = df.sparkSession, [f"_{i}" for i in range(len(order))]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*[F.col(c).alias(k) for c, k in zip(order, names, strict=True)])
+    rows = keys.count()
+    drawn = (keys.sample(SAMPLED * n / rows) if rows > SAMPLED * n else keys).orderBy(*names).toArrow()
+    cuts = pa.array(sorted({len(drawn) * i // n for i in range(1, n)} - {0}), pa.int64())
+    bounds = spark.createDataFrame(drawn.take(cuts), keys.schema).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_bounds"))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length() or 1))])
+    own = F.struct(*[F.col(c).alias(k) for c, k in zip(order, names, strict=True)])
+    search = F.aggregate(steps, F.lit(0), lambda low, k: F.when(F.get("_bounds", low + k - 1) <= own, low + k).otherwise(low))
+    return df.crossJoin(F.broadcast(bounds)).withColumn("_p", search.cast("long")).drop("_bounds")
+
+
 def latest_by_key(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of each key's rows the last one by `order`."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])

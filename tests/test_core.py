@@ -122,6 +122,31 @@ def test_constraints(spark):
     assert rows(filled.select("pk", "c")) == [(5, "a"), (6, "b"), (7, "c")]
 
 
+@pytest.fixture
+def many_ranges(spark):
+    """Small partitions stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark.range(0, 20_000, 1, 3)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_auto_increment_numbers_each_once_when_ranges_are_sampled(many_ranges):
+    """Names come twice, one in a hundred is null; ids are by name, null first, without gaps."""
+    name = F.when(F.col("id") % 100 > 0, F.format_string("n%06d", F.col("id") * 7919 % 10_000))
+    df = many_ranges.select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("pk"), name.alias("c"), (F.col("id") % 3).alias("n"))
+    filled = constraints.auto_increment(df, "pk", 200_000, ["c", "n"]).filter("pk >= 200000").orderBy("pk").collect()
+    want = df.filter("pk IS NULL").orderBy("c", "n").collect()
+    assert [r.pk for r in filled] == [*range(200_000, 215_000)] and [r[1:] for r in filled] == [r[1:] for r in want]
+
+
+def test_ranges_ascend_and_share_the_rows(many_ranges):
+    placed = diff.ranged(many_ranges.withColumn("k", -F.col("id") * F.col("id")), ["k"])
+    parts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("_p").collect()
+    assert [r["_p"] for r in parts] == [0, 1, 2, 3] and all(a.high < b.low for a, b in zip(parts, parts[1:])) and max(r.n for r in parts) < 10_000
+    assert rows(diff.ranged(many_ranges.limit(0), ["id"])) == []
+    assert {r["_p"] for r in diff.ranged(many_ranges.select(F.lit(None).cast("string").alias("c"), F.lit(1).alias("k")), ["c", "k"]).collect()} == {3}
+
+
 def test_schema_merge(spark):
     from pyspark.sql import types as T
 
