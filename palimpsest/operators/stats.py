@@ -10,21 +10,21 @@ from pyspark.sql import types as T
 def histogram(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """(bucket, row_count, distinct_count, lower_bound, upper_bound): buckets of about equal row counts; equal values share one.
 
-    Values are counted first, so that what is ranked are different values, and their ranks come from range partitions whose
+    Values are counted first, so that what is ranked are different values, and their ranks come from ranges whose bounds and
     sizes alone meet on the driver: no task ranks all of them.
     """
+    from palimpsest.operators.diff import offsets, ranged
+
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    placed = counts.repartitionByRange(column).sortWithinPartitions(column).withColumn("p", F.spark_partition_id())
-    sizes = {r["p"]: r["n"] for r in placed.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+    placed = ranged(counts, [column])
+    sizes = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.sum("n").alias("n")).collect()}
     total = sum(sizes.values())
     if not total:
         return df.sparkSession.createDataFrame([], "bucket int, row_count long, distinct_count long").withColumns({"lower_bound": F.lit(None).cast(df.schema[column].dataType), "upper_bound": F.lit(None).cast(df.schema[column].dataType)})
     from pyspark.sql import Window
 
-    within = F.sum("n").over(Window.partitionBy("p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-    from palimpsest.operators.diff import offsets
-
-    ranked = placed.withColumn("within", F.coalesce(within, F.lit(0))).withColumnRenamed("p", "_p").join(offsets(df.sparkSession, sorted(sizes.items())), "_p")
+    within = F.sum("n").over(Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = placed.withColumn("within", F.coalesce(within, F.lit(0))).join(offsets(df.sparkSession, sorted(sizes.items())), "_p")
     rank = F.col("_before") + F.col("within")
     bucketed = ranked.withColumn("bucket", F.floor(rank * buckets / F.lit(total)).cast("int"))
     return bucketed.groupBy("bucket").agg(F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("distinct_count"), F.min(column).alias("lower_bound"), F.max(column).alias("upper_bound"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import jsonx, mysql, spatial
-from palimpsest.operators import constraints, diff, merge, patch, schema
+from palimpsest.operators import constraints, diff, merge, patch, schema, stats
 from palimpsest.plans import quality_tests
 from palimpsest.plans.graph import Commit, Graph, split_range
 from palimpsest.plans.sql import Session, mysql_to_spark, spark_type, statements
@@ -139,6 +139,12 @@ def test_auto_increment_numbers_each_once_when_ranges_are_sampled(many_ranges):
     assert [r.pk for r in filled] == [*range(200_000, 215_000)] and [r[1:] for r in filled] == [r[1:] for r in want]
 
 
+def test_histogram_when_ranges_are_sampled(many_ranges):
+    """Values 0 to 9,999 of two rows each, dealt in no order, and nulls: ten buckets of equal counts."""
+    df = many_ranges.select((F.col("id") * 7919 % 10_000).alias("v")).union(many_ranges.limit(5).select(F.lit(None).cast("long")))
+    assert rows(stats.histogram(df, "v", 10)) == [(i, 2_000, 1_000, 1_000 * i, 1_000 * i + 999) for i in range(10)]
+
+
 def test_ranges_ascend_and_share_the_rows(many_ranges):
     placed = diff.ranged(many_ranges.withColumn("k", -F.col("id") * F.col("id")), ["k"])
     parts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("_p").collect()
