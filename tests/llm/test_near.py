@@ -155,3 +155,29 @@ def test_few_links_are_connected_by_one_task(spark):
     roots = components(df.limit(60), 1000)
     rest = near.stored(df, "links")
     assert sorted(map(tuple, near.joined(roots, rest).collect())) == want
+
+
+def stored_plans(monkeypatch):
+    """What near.stored is given from now on: (name, plan, rows)."""
+    made, real = [], near.stored
+    monkeypatch.setattr(near, "stored", lambda df, name: (out := real(df, name), made.append((name, df._jdf.queryExecution().optimizedPlan().toString(), out.count())))[0])
+    return made
+
+
+def test_prefixes_are_dealt_by_token_once(spark, monkeypatch):
+    """Tokens of three nodes of two roots, of one root, of one node, and two of the very same nodes."""
+    tokens = {1: [10, 11, 12], 2: [10, 11, 13, 14], 3: [11, 12, 13, 14], 4: [10, 15]}
+    known = spark.createDataFrame(list(tokens.items()), "node long, tokens array<long>")
+    made = stored_plans(monkeypatch)
+    found = near.shared_tokens(known, spark.createDataFrame([(4, 1), (3, 2)], "node long, root long"))
+    plans = [plan for _, plan, _ in made] + [found._jdf.queryExecution().optimizedPlan().toString()]
+    assert sum(plan.count("Generate posexplode") for plan in plans) == 1
+    assert sorted(map(tuple, found.collect())) == [(10, 1, 3, 1, 0), (10, 2, 3, 2, 0), (10, 4, 3, 1, 0), (11, 1, 3, 1, 1), (11, 2, 3, 2, 1), (11, 3, 3, 2, 0), (12, 1, 2, 1, 2), (12, 3, 2, 2, 1)]
+
+
+def test_differences_take_only_texts_that_are_asked_for(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, bytearray(f"a b c d e f g h i j k{i % 5}".encode())) for i in range(40)], "node long, t binary")
+    made = stored_plans(monkeypatch)
+    found = near.differing(spark.createDataFrame([(1, 2), (1, 6), (3, 2)], "hub long, node long"), texts)
+    assert sorted((r.hub, r.node, r.linked, r.d) for r in found.collect()) == [(1, 2, False, 2), (1, 6, True, 0), (3, 2, False, 2)]
+    assert [n for name, _, n in made if name == "near-texts"] == [4]
